@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, winnowing
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op7_winnowing": winnowing.op7_winnowing,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
