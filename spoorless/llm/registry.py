@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, winnowing
+from . import language, mixing, packing, toxicity, winnowing
 
 QUERIES = {
+    "op2_language": language.op2_language,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
