@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, toxicity, winnowing
+from . import caps, language, licences, mixing, packing, toxicity, winnowing
 
 QUERIES = {
     "op2_language": language.op2_language,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_licences": licences.op5_licences,
+    "op6_cap_filters": caps.op6_cap_filters,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
