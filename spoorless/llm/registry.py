@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, language, licences, mixing, packing, toxicity, winnowing
+from . import caps, language, licences, lines, mixing, packing, toxicity, winnowing
 
 QUERIES = {
     "op2_language": language.op2_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_cap_filters": caps.op6_cap_filters,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
