@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import caps, language, licences, lines, mixing, packing, toxicity, winnowing
+import corpus_pipeline
+
+from . import caps, language, licences, lines, mixing, ngram_join, packing, tool_calls, toxicity, winnowing
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_language": language.op2_language,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -12,8 +15,13 @@ QUERIES = {
     "op6_cap_filters": caps.op6_cap_filters,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_tool_calls": tool_calls.op9_tool_calls,
     "op10_line_dedup": lines.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
+    "op9_tool_calls": tool_calls.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
