@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,10 +19,14 @@ END_ID = 0
 #: Rounds of multiplicative weights. Each adds one configuration.
 ROUNDS = 128
 #: Chunks of text whose ids a Python worker remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 #: Characters of text taken apart at a time.
 SLICE = 1_000_000
 
+_LATIN, _RUN = re.compile("[\x00-\u012f\u0131-\u024f]*"), re.compile(r"[.,](?<=[\W\d_][.,])[ \n]")
+_ALONE = (". ", ", ", ".\n", ",\n")
+_SEPARATORS, _SPACE = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t\r\n]+")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -37,6 +42,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,49 +55,88 @@ class ChunkEncoder:
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Plain Latin words are encoded together and told apart by their word ends."""
-        words, odd = {}, []
-        for chunk in chunks:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case Latin words: some dozens are encoded together and told apart by their word ends."""
+        found: list[bytes] = []
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(stops) == len(group):
+                raw, ends = ids.tobytes(), stops.tolist()
+                found += [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            else:
+                found += self._each(group)
+        return found
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        known = self.known
+        words = [c for c in chunks if c.isalpha() and c.islower() and len(c) <= LONGEST and (c.isascii() or max(c) < "ɐ")]
+        found = dict(zip(words, self._words(words), strict=True))
+        rest = list(chunks.difference(found))
+        # a Latin word in other case, or before a full stop or comma
+        odd, bare = [], {}
+        for chunk in rest:
             word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
             if word.isalpha() and max(word) < "ɐ" and "İ" not in word and len(word) <= LONGEST:
-                words[chunk] = (word.lower(), mark)
+                bare[chunk] = (word.lower(), mark)
             else:
                 odd.append(chunk)
-        found = dict(zip(odd, self._each(odd), strict=True))
-        new = list({word for word, _ in words.values()} - self.known.keys())
-        ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else []
-        if len(stops) == len(new):
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(new, stops, strict=True):
-                self.known[word] = raw[4 * begin : 4 * stop]
-                begin = stop
-        else:
-            self.known.update(zip(new, self._each(new), strict=True))
-        for chunk, (word, mark) in words.items():
-            found[chunk] = self.known[word] + self.marks[mark] if mark else self.known[word]
+        new = list({word for word, _ in bare.values()}.difference(known, found))
+        found.update(zip(new, self._words(new), strict=True))
+        for chunk, (word, mark) in bare.items():
+            ids = found[word] if word in found else known[word]
+            found[chunk] = ids + self.marks[mark] if mark else ids
+        found.update(zip(odd, self._each(odd), strict=True))
         return found
 
-    def encode(self, text: str) -> bytes:
-        out, begin = [], 0
-        while begin < len(text):
-            stop = len(text) if len(text) - begin <= SLICE else text.find(" ", begin + SLICE)
-            stop = len(text) if stop < 0 else stop
-            piece = text[begin:stop]
-            # Python also splits at U+001C to U+001F, which the tokenizer doesn't count as white space
-            chunks = re.split(r"[ \t\r\n]+", piece) if re.search(r"[\x1c-\x1f]", piece) else piece.split()
-            chunks = [c for c in chunks if c]
-            try:
-                out += [self.known[c] for c in chunks]
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                new = self._learn([c for c in set(chunks) if c not in self.known])
-                self.known.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
-                out += [self.known.get(c) or new.get(c, b"") for c in chunks]
-            begin = stop
-        return b"".join(out)
+    def _chunks(self, text: str) -> list[str]:
+        # Python also splits at U+001C to U+001F, which the tokenizer doesn't count as white space
+        if _SEPARATORS.search(text):
+            return [c for c in _SPACE.split(text) if c]
+        if _LATIN.fullmatch(text) and not _RUN.search(text):
+            # a mark between a letter and white space is a token of its own, and case is dropped: fewer chunks
+            text = text.lower()
+            for mark in _ALONE:
+                text = text.replace(mark, f" {mark}")
+        return text.split()
+
+    def _encode(self, parts: list[list[str]]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        ids = [list(map(known.get, chunks)) for chunks in parts]
+        short = [k for k, x in enumerate(ids) if None in x]
+        if short:
+            new = self._learn({c for k in short for c, x in zip(parts[k], ids[k], strict=True) if x is None})
+            known.update(new)
+            for k in short:
+                ids[k] = [known[c] for c in parts[k]]
+            for chunk in [c for c in new if len(c) > LONGEST]:
+                del known[chunk]
+        return [b"".join(x) for x in ids]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; some texts, or a part of one at a white space, are taken at a time."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if len(text) > SLICE:
+                yield from self._encode(group)
+                group, size, out, begin = [], 0, [], 0
+                while begin < len(text):
+                    stop = text.find(" ", begin + SLICE)
+                    stop = len(text) if stop < 0 else stop
+                    out += self._encode([self._chunks(text[begin:stop])])
+                    begin = stop
+                yield b"".join(out)
+                continue
+            group.append(self._chunks(text))
+            size += len(text)
+            if size > SLICE:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -108,8 +153,9 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         for batch in batches:
             encoder = encoder or ChunkEncoder(path)
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0), encoder.encode(texts), strict=True):
+                ids += END_ID.to_bytes(4, "little")
                 for piece, begin in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[begin : begin + 4 * capacity]
                     for column, value in zip(rows, (doc_id.as_py(), piece, begin // 4, len(part) // 4, zlib.crc32(part)), strict=True):
