@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, load, shuffle_width
+from . import blocks
+from .common import components, cut, load
 
 COSINE = 0.98
 #: A code word is one of CODES directions in each of BLOCKS blocks of the dimensions; so CODES ** BLOCKS filters.
 BLOCKS, CODES = 4, 16
 #: A vector passes a filter if it lies so many standard deviations of a random direction towards it ...
-CAP = 3.2
+CAP = 3.6
 #: ... and passes its nearest LEAST filters in any case.
-LEAST = 12
+LEAST = 10
 #: Vectors of a filter that are compared in one piece; larger ones are cut into pieces of about this size.
 PIECE = 1024
-_BIG = np.iinfo(np.int64).max
 
 
 def code_book(dimensions: int, blocks: int = BLOCKS, codes: int = CODES) -> list[np.ndarray]:
@@ -31,6 +31,13 @@ def code_book(dimensions: int, blocks: int = BLOCKS, codes: int = CODES) -> list
     return [b / np.linalg.norm(b, axis=1, keepdims=True) for b in book]
 
 
+def unit_vectors(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision; scaled first, so that squares neither vanish nor overflow."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows**2).sum(1, keepdims=True))
+
+
 def list_decode(vectors: np.ndarray, book: list[np.ndarray], cap: float = CAP, least: int = LEAST) -> list[np.ndarray]:
     """Filters that each unit vector passes, in ascending order.
 
@@ -61,108 +68,34 @@ def list_decode(vectors: np.ndarray, book: list[np.ndarray], cap: float = CAP, l
 
 
 def _filters(vectors: DataFrame) -> DataFrame:
-    """``rid, label, dim, unit, filters`` of ``rid, label, embedding``: unit vectors in double precision."""
+    """``rid, label, n, dim, embedding, filters`` of ``rid, label, n, embedding``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             rows = batch.column("embedding").to_pylist()
-            units, filters = [None] * len(rows), [None] * len(rows)
+            filters = [None] * len(rows)
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
-                unit = np.array([rows[i] for i in at], np.float64)
-                unit = unit / np.abs(unit).max(1, keepdims=True)  # so that squares neither vanish nor overflow
-                unit = unit / np.sqrt((unit**2).sum(1, keepdims=True))
-                book = books.setdefault(dim, code_book(dim))
-                for i, u, f in zip(at, unit, list_decode(unit, book), strict=True):
-                    units[i], filters[i] = u, f
-            columns = [batch.column("rid"), batch.column("label"), batch.column("n"), pa.array([len(r) for r in rows], pa.int32()), pa.array(units, pa.list_(pa.float64())), pa.array(filters, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "label", "n", "dim", "unit", "filters"])
-
-    return vectors.mapInArrow(run, f"rid long, label {vectors.schema['label'].dataType.simpleString()}, n long, dim int, unit array<double>, filters array<long>")
-
-
-def _compare(own: tuple, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links among the rows of one filter's piece that no smaller filter of both vectors has seen.
+                for i, f in zip(at, list_decode(unit_vectors(np.array([rows[i] for i in at])), books.setdefault(dim, code_book(dim))), strict=True):
+                    filters[i] = f
+            columns = [batch.column("rid"), batch.column("label"), batch.column("n"), pa.array([len(r) for r in rows], pa.int32()), batch.column("embedding"), pa.array(filters, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "label", "n", "dim", "embedding", "filters"])
 
-    Gives for each row the vectors that it links to directly, counted with their copies, and the
-    smallest row that it reaches inside the piece.
-    """
-    rid, n, unit, filters, chunk, cell, this = own
-    close = unit @ unit.T >= cosine
-    np.fill_diagonal(close, False)
-    left, right = divmod(cell, 1 << 20)
-    if left != right:  # a piece of two chunks: only pairs across them
-        close &= chunk[:, None] != chunk[None, :]
-    lower = [f[: np.searchsorted(f, this)] for f in filters]
-    pool, place = np.unique(np.concatenate(lower), return_inverse=True)
-    if len(pool):
-        for begin in range(0, len(pool), 4096):
-            member = np.zeros((len(rid), min(4096, len(pool) - begin)), np.float32)
-            row = np.repeat(np.arange(len(rid)), [len(x) for x in lower])
-            inside = (place >= begin) & (place < begin + member.shape[1])
-            member[row[inside], place[inside] - begin] = 1
-            used = np.flatnonzero(close.any(1))  # only rows with a link can lose one
-            if not len(used):
-                break
-            close[np.ix_(used, used)] &= (member[used] @ member[used].T) == 0
-    links = close @ n
-    root = rid.copy()
-    while True:
-        reach = np.where(close, root[None, :], _BIG).min(1, initial=_BIG)
-        new = np.minimum(root, reach)
-        if (new == root).all():
-            return rid, links, root
-        root = new
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("label", "embedding")}
+    return vectors.mapInArrow(run, f"rid long, label {kinds['label']}, n long, dim int, embedding {kinds['embedding']}, filters array<long>")
 
 
-def _pieces(rows: DataFrame, cosine: float) -> DataFrame:
-    """Compare the rows of each (label, dim, filter, cell), which stand together in sorted partitions."""
+def _close(cosine: float):
+    def closeness(table: pa.Table) -> np.ndarray:
+        rows, kind = blocks.lists(table, "embedding"), table.column("kind").to_numpy()
+        padded = np.zeros((len(rows), max(map(len, rows))))
+        for i, row in enumerate(rows):
+            padded[i, : len(row)] = row
+        unit = unit_vectors(padded)
+        return (unit @ unit.T >= cosine) & (kind[:, None] == kind[None, :])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ("_bucket", "filter", "cell")
-        held: list[pa.RecordBatch] = []
-
-        def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            key = np.stack([table.column(k).to_numpy() for k in keys])
-            starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-            stops = np.append(starts[1:], table.num_rows)
-            rid, n, chunk = (table.column(k).to_numpy() for k in ("rid", "n", "chunk"))
-            unit = table.column("unit").combine_chunks()
-            filters = table.column("filters").combine_chunks()
-            values, offsets = filters.values.to_numpy(), filters.offsets.to_numpy()
-            flat, places = unit.values.to_numpy(), unit.offsets.to_numpy()
-            found: list[tuple] = []
-            for a, b in zip(starts, stops, strict=True):
-                if b - a > 1:
-                    block = flat[places[a] : places[b]].reshape(b - a, -1)
-                    lists = [values[offsets[i] : offsets[i + 1]] for i in range(a, b)]
-                    got = _compare((rid[a:b], n[a:b], block, lists, chunk[a:b], int(key[2, a]), int(key[1, a])), cosine)
-                    some = got[1] > 0
-                    if some.any():
-                        found.append(tuple(x[some] for x in got))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(3)], names=["rid", "links", "root"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # groups that end inside this batch are done; the last one may go on in the next
-            held.append(batch)
-            last = [batch.column(k)[-1].as_py() for k in keys]
-            first = [held[0].column(k)[0].as_py() for k in keys]
-            if last == first:
-                continue
-            table = pa.Table.from_batches(held)
-            same = np.all([table.column(k).to_numpy() == v for k, v in zip(keys, last, strict=True)], 0)
-            stop = int(np.flatnonzero(same)[0])
-            yield from results(table.slice(0, stop))
-            held = table.slice(stop).combine_chunks().to_batches()
-        if held:
-            yield from results(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, "rid long, links long, root long")
+    return closeness
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIECE) -> DataFrame:
@@ -174,23 +107,20 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIE
     table gives no rows; other columns are not read. No filter's vectors are gathered: those of a full
     filter are dealt over cells of two pieces, and each pair is counted by the smallest filter it shares.
     """
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = embeddings.select("vec_id", "label", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite, F.lit(False)))
-    good = rows.filter("ok").select("vec_id", "label", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
+    good = rows.filter("ok").select("vec_id", "label", "embedding")
     # a class is named by its smallest vec_id; hot classes are grouped partially before the shuffle
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n")))
     coded = cut(_filters(classes.select(F.col("rid").cast("long"), "label", "n", "embedding")))
-    each = coded.select("label", "dim", F.explode("filters").alias("filter"))
-    sizes = each.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sizes = sizes.select(F.xxhash64("label", "dim").alias("_bucket"), "filter", F.ceil(F.col("size") / piece).cast("int").alias("chunks"))
-    dealt = coded.withColumn("_bucket", F.xxhash64("label", "dim")).withColumn("filter", F.explode("filters")).join(sizes, ["_bucket", "filter"])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.withColumn("_other", other).withColumn("cell", F.least("chunk", "_other").cast("long") * (1 << 20) + F.greatest("chunk", "_other"))
-    dealt = dealt.select("_bucket", "filter", "cell", "rid", "n", "chunk", "unit", "filters")
-    dealt = dealt.repartition(shuffle_width(embeddings.sparkSession), "_bucket", "filter", "cell").sortWithinPartitions("_bucket", "filter", "cell")
-    found = cut(_pieces(dealt, cosine))
+    name = F.xxhash64("label", "dim", "filter")  # should two filters share a name, kinds still tell their vectors apart
+    each = coded.select("rid", "label", "dim", F.explode("filters").alias("filter")).select("rid", name.alias("bucket"))
+    each = cut(each)
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    whole = coded.select("rid", "n", "embedding", F.xxhash64("label", "dim").alias("kind"), F.transform("filters", lambda f: F.xxhash64("label", "dim", f)).alias("buckets"))
+    dealt = blocks.deal(each, sizes, piece).join(whole, "rid")
+    found = cut(blocks.compare(dealt.select("bucket", "cell", "chunk", "rid", "n", "kind", "embedding", "buckets"), _close(cosine)))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     known = classes.join(links, "rid", "left").join(groups.withColumnRenamed("node", "rid"), "rid", "left")
