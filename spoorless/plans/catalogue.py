@@ -1,4 +1,384 @@
-"""Registered queries of the trace engine, with their DuckDB oracles."""
+"""Registered queries of the trace engine, with DuckDB SQL for their rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formats, markup, scalars
+from ..functions import text as chars
+from ..operators import engine, queue
+from ..schemas import FINDINGS, MAX_INPUT_BYTES, Options
+from . import fixtures as fx
+from . import oracle as o
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def _exploded(rows: DataFrame, key: str, findings: Column, *more: str) -> DataFrame:
+    f = rows.select(key, *more, F.explode(findings).alias("f"))
+    return f.select(key, *more, "f.category", "f.severity", "f.count")
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+_PLANTED = f"WITH {o.planted(fx.TRACES)}, {o.judged('ftext', 'j')}"
+
+
+def _character_findings(rows: DataFrame) -> Column:
+    return F.array_compact(F.array(markup.finding("invisible", chars.invisible_count(F.col("text"))), markup.finding("space", chars.space_count(F.col("text"))))).cast(FINDINGS)
+
+
+@register("text_scan_findings", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT * FROM text_found")
+def text_scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.texts(spark, sf_dir)
+    return _exploded(rows, "doc_id", _character_findings(rows))
+
+
+@register("text_scan_totals_by_lang", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT lang, category, CAST(sum(count) AS BIGINT) AS total, count(*) AS files FROM text_found JOIN documents USING (doc_id) GROUP BY lang, category")
+def text_scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.texts(spark, sf_dir)
+    return _exploded(rows, "doc_id", _character_findings(rows), "lang").groupBy("lang", "category").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("files"))
+
+
+@register("text_clean", f"{_PLANTED}, {o.cleaned('j', 'k')} SELECT doc_id, text AS cleaned FROM k")
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.texts(spark, sf_dir).select("doc_id", chars.clean_text(F.col("text")).alias("cleaned"))
+
+
+@register("text_clean_sizes", f"{_PLANTED}, {o.cleaned('j', 'k')} SELECT doc_id, strlen(f.text) AS source_size, strlen(k.text) AS output_size, strlen(f.text) - strlen(k.text) AS delta FROM k JOIN ftext f USING (doc_id)")
+def text_clean_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.octet_length(c).cast("long")
+    rows = fx.texts(spark, sf_dir).select("doc_id", size(F.col("text")).alias("source_size"), size(chars.clean_text(F.col("text"))).alias("output_size"))
+    return rows.withColumn("delta", F.col("source_size") - F.col("output_size"))
+
+
+@register("text_verify_residual", f"WITH {o.planted(fx.STUBBORN)}, {o.judged('ftext', 'j')}, {o.cleaned('j', 'k')}, {o.judged('k', 'l')} SELECT doc_id, count(*) AS residual FROM l WHERE inv OR sp GROUP BY doc_id")
+def text_verify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which cleaning lays a trace bare: these fail verification."""
+    rows = fx.texts(spark, sf_dir, fx.STUBBORN).select("doc_id", chars.clean_text(F.col("text")).alias("text"))
+    return rows.select("doc_id", queue.residual(_character_findings(rows)).alias("residual")).filter("residual > 0")
+
+
+def _as_files(rows: DataFrame, key: str, ext: Column, text: str) -> DataFrame:
+    content = F.encode(text, "UTF-8")
+    return rows.select(F.concat(F.lit("/in/"), F.col(key).cast("string"), F.lit("."), ext).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+def _key(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn(key, F.regexp_extract("path", r"/in/(\d+)[.]", 1).cast("long"))
+
+
+@register("engine_clean_texts", f"WITH {o.planted(fx.STUBBORN)}, {o.judged('ftext', 'j')}, {o.cleaned('j', 'k')}, {o.judged('k', 'l')}, bad AS (SELECT doc_id, count(*) AS n FROM l WHERE inv OR sp GROUP BY doc_id) "
+          "SELECT k.doc_id, n IS NULL AS success, CASE WHEN n IS NOT NULL THEN 'Verification' END AS error_code, CASE WHEN n IS NULL THEN CAST(strlen(k.text) AS BIGINT) END AS output_size FROM k LEFT JOIN bad USING (doc_id) JOIN ftext f USING (doc_id) WHERE f.ext NOT IN ('html', 'htm', 'xhtml', 'svg', 'md', 'markdown')")
+def engine_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.texts(spark, sf_dir, fx.STUBBORN).filter(~F.col("ext").isin(*markup.HTML, *markup.SVG, *markup.MARKDOWN))
+    return _key(engine.clean(_as_files(rows, "doc_id", F.col("ext"), "text")), "doc_id").select("doc_id", "success", "error_code", "output_size")
+
+
+# --- markup --------------------------------------------------------------------------------------------------------
+
+_HTML_COUNT = f"len(regexp_extract_all(html, '{o.HTML_META}')) + len(regexp_extract_all(html, '{o.HTML_DATA}'))"
+_HTML_CLEAN = f"regexp_replace(regexp_replace(html, '{o.HTML_META}', '', 'g'), '{o.HTML_DATA}', '', 'g')"
+
+
+@register("html_scan", f"WITH {o.pages(False)} SELECT page_id, CAST({_HTML_COUNT} AS BIGINT) AS metadata FROM fhtml")
+def html_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.pages(spark, sf_dir).select("page_id", markup.metadata_count(F.col("html"), F.lit("html")).alias("metadata"))
+
+
+@register("html_clean", f"WITH {o.pages(False)} SELECT page_id, {_HTML_CLEAN} AS cleaned FROM fhtml")
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.pages(spark, sf_dir).select("page_id", markup.strip_metadata(F.col("html"), F.lit("xhtml")).alias("cleaned"))
+
+
+@register("svg_clean", f"WITH {o.SVGS} SELECT doc_id, CAST(len(regexp_extract_all(text, '{o.SVG}')) AS BIGINT) AS metadata, regexp_replace(text, '{o.SVG}', '', 'g') AS cleaned FROM fsvg")
+def svg_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.svgs(spark, sf_dir).select("doc_id", markup.metadata_count(F.col("text"), F.lit("svg")).alias("metadata"), markup.strip_metadata(F.col("text"), F.lit("svg")).alias("cleaned"))
+
+
+@register("md_front_matter_scan", f"WITH {o.MARKDOWNS} SELECT doc_id, CAST(n AS BIGINT) AS metadata FROM fmd")
+def md_front_matter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.markdowns(spark, sf_dir).select("doc_id", markup.metadata_count(F.col("text"), F.lit("md")).alias("metadata"))
+
+
+@register("md_clean", f"WITH {o.MARKDOWNS} SELECT doc_id, bare AS cleaned FROM fmd")
+def md_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.markdowns(spark, sf_dir).select("doc_id", markup.strip_metadata(F.col("text"), F.lit("markdown")).alias("cleaned"))
+
+
+@register("markup_verify_residual", f"WITH {o.pages(True)}, bare AS (SELECT page_id, replace({_HTML_CLEAN}, chr(8203), '') AS html FROM fhtml) SELECT page_id, CAST({_HTML_COUNT} AS BIGINT) AS residual FROM bare WHERE {_HTML_COUNT} > 0")
+def markup_verify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in which a hidden character splits an attribute's name: the clean page holds what the scan missed."""
+    rows = fx.pages(spark, sf_dir, hidden=True).select("page_id", markup.clean_markup(F.col("html"), F.lit("html")).alias("html"))
+    return rows.select("page_id", queue.residual(markup.text_findings(F.col("html"), F.lit("html"))).alias("residual")).filter("residual > 0")
+
+
+# --- detection and names ---------------------------------------------------------------------------------------------
+
+#: Heads by doc_id % 20: (bytes before the text, extension, format).
+_HEADS: list[tuple[bytes, str, str]] = [
+    (b"\xff\xd8\xff", "mp4", "JPEG"), (b"\x89PNG\r\n\x1a\n", "png", "PNG"), (b"RIFF\0\0\0\0WEBP", "webp", "WebP"), (b"GIF89a", "txt", "GIF"), (b"ID3", "txt", "MP3"),
+    (b"\xff\xfe", "txt", "MP3"), (b"RIFF\0\0\0\0WAVE", "wav", "WAV"), (b"fLaC", "flac", "FLAC"), (b"\0\0\0\x10ftypisom\0\0\0\0", "mov", "MP4 / QuickTime"),
+    (b"\0\0\0\x10ftypheic\0\0\0\0", "mp4", "Unsupported"), (b"\0\0\0\x14ftypheic\0\0\0\0qt  ", "qt", "MP4 / QuickTime"), (b"%PDF-", "txt", "PDF"), (b"PK", "docx", "Office"),
+    (b"PK", "zip", "Unsupported"), (b"", "txt", "Text"), (b"\xc3\x28", "txt", "Unsupported"), (b"\xed\xa0\x80", "md", "Unsupported"), (b"", "bin", "Unsupported"),
+    (b"\xf4\x90\x80\x80", "log", "Unsupported"), (b"\0\0\0\x10ftypisom\0\0\0\0", "txt", "Text"),
+]
+_CLASS = "doc_id % 20"
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, kind = fx.table(spark, sf_dir, "documents"), F.col("doc_id") % 20
+    head = F.unhex(fx.pick(kind, [h.hex() for h, _, _ in _HEADS]))
+    return rows.select("doc_id", "lang", fx.pick(kind, [e for _, e, _ in _HEADS]).alias("ext"), F.concat(head, F.encode(F.substring("text", 1, 100), "UTF-8")).alias("content"))
+
+
+_EXPECTED = o.choose(_CLASS, [f"'{f}'" for _, _, f in _HEADS])
+
+
+@register("detect_format", f"SELECT doc_id, {_EXPECTED} AS format FROM documents")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headed(spark, sf_dir).select("doc_id", formats.detect(F.col("ext"), F.col("content")).alias("format"))
+
+
+@register("detect_counts", f"SELECT lang, {_EXPECTED} AS format, count(*) AS files FROM documents GROUP BY 1, 2")
+def detect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headed(spark, sf_dir).groupBy("lang", formats.detect(F.col("ext"), F.col("content")).alias("format")).agg(F.count(F.lit(1)).alias("files"))
+
+
+_INVALID = [k for k, (h, _, _) in enumerate(_HEADS) if h[:1] in (b"\xff", b"\x89", b"\xc3", b"\xed", b"\xf4")]
+
+
+@register("utf8_validity", f"SELECT doc_id, {_CLASS} NOT IN ({', '.join(map(str, _INVALID))}) AS valid FROM documents")
+def utf8_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headed(spark, sf_dir).select("doc_id", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+
+
+_NAMES = ["photo.JPG", ".txt", "jpg", "a.b.Tar", "clip.M4A", "clip.mqv", "deck.pptx", "paper.PDF", "notes.markdown", "no_dot", "dot.", "x.heic"]
+_NAME_SQL = o.choose("doc_id % 12", [f"'{n}'" for n in _NAMES])
+_LAST = "lower(list_extract(string_split(name, '.'), -1))"
+_AFTER = "CASE WHEN strpos(substr(name, 2), '.') > 0 THEN lower(list_extract(string_split(name, '.'), -1)) ELSE '' END"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", fx.pick(F.col("doc_id") % 12, _NAMES).alias("name"))
+
+
+@register("classify_kind", "SELECT doc_id, " + o.choose("doc_id % 12", [f"'{k}'" for k in ("image", "text", "image", "unknown", "audio", "video", "document", "pdf", "text", "unknown", "unknown", "unknown")]) + " AS kind FROM documents")
+def classify_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("doc_id", formats.kind(F.col("name")).alias("kind"))
+
+
+@register("ext_rules", f"WITH n AS (SELECT doc_id, {_NAME_SQL} AS name FROM documents) SELECT doc_id, {_AFTER} AS path_ext, {_LAST} AS kind_ext, {_AFTER} AS sort_ext FROM n")
+def ext_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    return _names(spark, sf_dir).select("doc_id", formats.extension(name).alias("path_ext"), formats.kind_extension(name).alias("kind_ext"), formats.sort_extension(name).alias("sort_ext"))
+
+
+_LISTED_SQL = f"listed AS (SELECT doc_id, '/d/' || doc_id || '/' || {_NAME_SQL} AS path, {_NAME_SQL} AS name, doc_id % 2 = 0 AS found, CASE WHEN doc_id % 31 = 0 THEN {MAX_INPUT_BYTES} + doc_id % 2 ELSE n_chars END AS length FROM documents)"
+_ALLOWED = "(NOT found OR doc_id % 12 IN (0, 4, 5, 6, 7, 8))"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents").withColumn("name", fx.pick(F.col("doc_id") % 12, _NAMES))
+    length = F.when(F.col("doc_id") % 31 == 0, F.lit(MAX_INPUT_BYTES) + F.col("doc_id") % 2).otherwise(F.col("n_chars"))
+    return rows.select("doc_id", F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit("/"), "name").alias("path"), "name", (F.col("doc_id") % 2 == 0).alias("found"), length.alias("length"))
+
+
+@register("intake_allowlist", f"WITH {_LISTED_SQL} SELECT path FROM listed WHERE {_ALLOWED}")
+def intake_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _listed(spark, sf_dir)
+    return queue.path_dedup(rows.filter(~F.col("found") | formats.supported(formats.extension(F.col("name")))).select("path"))
+
+
+@register("intake_issues", f"WITH {_LISTED_SQL} SELECT name, count(*) AS skipped FROM listed WHERE NOT {_ALLOWED} GROUP BY name")
+def intake_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _listed(spark, sf_dir).filter(F.col("found") & ~formats.supported(formats.extension(F.col("name"))))
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("skipped"))
+
+
+@register("size_gate", f"WITH {_LISTED_SQL} SELECT doc_id, length <= {MAX_INPUT_BYTES} AS fits FROM listed")
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir).select("doc_id", (F.col("length") <= MAX_INPUT_BYTES).alias("fits"))
+
+
+# --- containers ------------------------------------------------------------------------------------------------------
+
+
+def _container_queries(name: str) -> None:
+    @register(f"{name}_findings", o.container_findings(name))
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _key(engine.scan(fx.containers(spark, sf_dir, name)), "doc_id").select("doc_id", F.explode("findings").alias("f"))
+        return rows.select("doc_id", "f.category", "f.label", "f.severity", "f.count")
+
+    @register(f"{name}_clean", o.container_clean(name))
+    def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _key(engine.clean(fx.containers(spark, sf_dir, name)), "doc_id")
+        return rows.select("doc_id", "output_size", queue.residual(F.col("removed")).alias("removed"), "success")
+
+
+for _name in fx.CONTAINERS:
+    _container_queries(_name)
+
+
+@register("png_segments", o.PNG_SEGMENTS)
+def png_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _key(engine.segments(fx.containers(spark, sf_dir, "png")), "doc_id").select("doc_id", "idx", "kind", "start", "stop", "private")
+
+
+@register("jpeg_clean_profile", o.container_clean("jpeg").replace("trace IS NULL OR trace = 'profile'", "trace IS NULL").replace("trace IS NOT NULL AND trace <> 'profile'", "trace IS NOT NULL"))
+def jpeg_clean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _key(engine.clean(fx.containers(spark, sf_dir, "jpeg"), Options(preserve_color_profile=False)), "doc_id")
+    return rows.select("doc_id", "output_size", queue.residual(F.col("removed")).alias("removed"), "success")
+
+
+@register("verify_images", "WITH f AS (SELECT unnest(['jpeg', 'png', 'webp']) AS kind) SELECT kind, count(*) AS files, count(*) AS verified FROM documents, f GROUP BY kind")
+def verify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean files scan without private findings, so a second clean removes nothing."""
+    out = None
+    for name in ("jpeg", "png", "webp"):
+        once = engine.clean(fx.containers(spark, sf_dir, name)).select("path", F.col("output_size").alias("length"), F.col("cleaned").alias("content"))
+        again = engine.clean(once).select(F.lit(name).alias("kind"), (F.col("success") & (F.size("removed") == 0)).alias("fine"))
+        out = again if out is None else out.unionByName(again)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.count_if("fine").alias("verified"))
+
+
+# --- queue and reports -----------------------------------------------------------------------------------------------
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id")
+    rows = fx.table(spark, sf_dir, "documents")
+    size = F.when(key % 5 != 0, F.col("n_chars"))
+    return rows.select(key.cast("string").alias("id"), key.alias("idx"), F.concat(F.lit("File"), (key % 97).cast("string")).alias("name"), F.concat(F.lit("/q/"), (key % 500).cast("string")).alias("path"), size.alias("source_size"), F.lit("scanning").alias("status"))
+
+
+_QUEUE = "q AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS idx, 'File' || (doc_id % 97) AS name, '/q/' || (doc_id % 500) AS path, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS source_size, 'scanning' AS status FROM documents)"
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports for some paths, none for others; the last counts."""
+    key = F.col("doc_id")
+    found = lambda category, every, n: F.when(key % every == 0, F.struct(F.lit(category).alias("category"), F.lit("").alias("label"), n.cast("long").alias("count"), F.lit("").alias("severity")))
+    findings = F.array_compact(F.array(found("image_metadata", 2, key % 4 + 1), found("color_profile", 3, F.lit(1)), found("macos_xattr", 5, F.lit(2)))).cast(FINDINGS)
+    error = F.when(key % 7 == 0, F.lit("broken"))
+    return fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("/q/"), (key % 700).cast("string")).alias("path"), key.alias("pos"), F.struct(error.alias("error"), findings.alias("findings"), key.alias("size")).alias("report"))
+
+
+_REPORTS = """r AS (SELECT '/q/' || (doc_id % 700) AS path, doc_id AS pos, doc_id % 7 = 0 AS broken, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 + 1 ELSE 0 END AS image,
+  CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS profile, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS xattr FROM documents),
+last AS (SELECT path, arg_max(pos, pos) AS pos, arg_max(broken, pos) AS broken, arg_max(image, pos) AS image, arg_max(profile, pos) AS profile, arg_max(xattr, pos) AS xattr FROM r GROUP BY path)"""
+
+
+@register("queue_left_join_reports", f"WITH {_QUEUE}, {_REPORTS} SELECT id, last.pos AS report_size, CASE WHEN broken THEN 'error' ELSE 'scanned' END AS status FROM q LEFT JOIN last USING (path)")
+def queue_left_join_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir)).select("id", F.col("report.size").alias("report_size"), "status")
+
+
+@register("queue_left_join_results", f"WITH {_QUEUE}, r AS (SELECT '/q/' || (doc_id % 300) AS path, arg_max(doc_id % 3 <> 0, doc_id) AS success FROM documents GROUP BY 1) SELECT id, success, CASE WHEN success IS NULL THEN status WHEN success THEN 'clean' ELSE 'error' END AS status FROM q LEFT JOIN r USING (path)")
+def queue_left_join_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id")
+    results = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("/q/"), (key % 300).cast("string")).alias("path"), key.alias("pos"), F.struct((key % 3 != 0).alias("success")).alias("result"))
+    return queue.with_results(_queue(spark, sf_dir), results).select("id", F.col("result.success").alias("success"), "status")
+
+
+@register("queue_anti_merge", f"WITH {_QUEUE}, a AS (SELECT id, 'old' AS source FROM q WHERE idx % 3 = 0) SELECT * FROM a UNION ALL SELECT id, 'new' FROM (SELECT id FROM q UNION ALL SELECT id FROM q WHERE idx % 4 = 0) WHERE id NOT IN (SELECT id FROM a)")
+def queue_anti_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _queue(spark, sf_dir)
+    new = rows.select("id").unionByName(rows.filter("idx % 4 = 0").select("id")).withColumn("source", F.lit("new"))
+    return queue.merge(rows.filter("idx % 3 = 0").select("id", F.lit("old").alias("source")), new)
+
+
+@register("path_dedup", f"WITH {_QUEUE} SELECT DISTINCT path FROM q")
+def path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.path_dedup(_queue(spark, sf_dir).select("path"))
+
+
+@register("actionable_counts", f"WITH {_REPORTS} SELECT pos, CAST(image AS BIGINT) AS kept_profile, CAST(image + profile AS BIGINT) AS removed_profile, CAST(image + xattr AS BIGINT) AS removed_xattr FROM r")
+def actionable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("report.findings")
+    return _reports(spark, sf_dir).select("pos", queue.actionable(found).alias("kept_profile"), queue.actionable(found, preserve_color_profile=False).alias("removed_profile"), queue.actionable(found, remove_extended_attributes=True).alias("removed_xattr"))
+
+
+@register("scan_grand_total", f"WITH {_REPORTS} SELECT CAST(sum(image + profile + xattr) AS BIGINT) AS total FROM r")
+def scan_grand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.grand_total(_reports(spark, sf_dir).select("report.findings"))
+
+
+@register("cleanable_rows", f"WITH {_QUEUE}, {_REPORTS} SELECT id FROM q JOIN last USING (path) WHERE NOT broken AND image > 0")
+def cleanable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.cleanable(queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir))).select("id")
+
+
+@register("batch_summary", "SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS succeeded, count(*) FILTER (WHERE turn % 2 <> 0) AS failed FROM conversations GROUP BY conv_id")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("turn") % 2 == 0
+    return fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+
+
+@register("all_done", "SELECT true AS all_done")
+def all_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.all_done(queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir)))
+
+
+@register("history_success", "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (WHERE role <> 'user') AS succeeded, count(*) AS total FROM conversations GROUP BY conv_id")
+def history_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = fx.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id"))
+    return queue.history_ratio(turns.agg(F.collect_list(F.struct((F.col("role") != "user").alias("success"))).alias("results")))
+
+
+@register("history_cap", "SELECT event_id AS id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.history(fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at")))
+
+
+@register("queue_sort_topk", f"WITH {_QUEUE} SELECT id, source_size FROM q ORDER BY source_size DESC NULLS LAST, idx LIMIT 50")
+def queue_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.sort(_queue(spark, sf_dir), "source_size", descending=True).limit(50).select("id", "source_size")
+
+
+@register("natural_name_sort", f"WITH {_QUEUE}, n AS (SELECT DISTINCT name FROM q) SELECT name, row_number() OVER (ORDER BY CAST(substr(name, 5) AS INT)) AS place FROM n")
+def natural_name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    names = _queue(spark, sf_dir).select("name").distinct()
+    return names.select("name", F.row_number().over(Window.orderBy(scalars.natural_key(F.col("name")))).cast("long").alias("place"))
+
+
+@register("manifest_diff", "WITH a AS (SELECT source AS v FROM documents), b AS (SELECT DISTINCT 'src' || user_id AS v FROM events) SELECT v AS value, 'duplicate' AS problem FROM a GROUP BY v HAVING count(*) > 1 "
+          "UNION ALL SELECT v, 'missing' FROM (SELECT DISTINCT v FROM a EXCEPT SELECT v FROM b) UNION ALL SELECT v, 'extra' FROM (SELECT v FROM b EXCEPT SELECT v FROM a)")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source")).distinct()
+    return queue.manifest_difference(fx.table(spark, sf_dir, "documents").select("source"), right, "source")
+
+
+@register("sha256_manifest", "SELECT page_id, sha256(html) AS sha256 FROM pages")
+def sha256_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"))
+
+
+@register("label_lookup", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT doc_id, category, CASE category WHEN 'unicode' THEN 'Hidden characters' ELSE '' END AS label FROM text_found")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.texts(spark, sf_dir)
+    names = spark.createDataFrame([("unicode", "Hidden characters")], "category string, shown string")
+    found = _exploded(rows, "doc_id", _character_findings(rows)).withColumn("label", F.lit(""))
+    return queue.labels(found, names).select("doc_id", "category", "label")
+
+
+@register("shown_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1048576 THEN printf('%.0f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS shown FROM (SELECT doc_id, n_chars * 7 + 1 AS n FROM documents)")
+def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.shown_bytes(F.col("n_chars") * 7 + 1).alias("shown"))
