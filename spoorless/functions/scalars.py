@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def shown_bytes(size: Column) -> Column:
     """A size in steps of 1024: a decimal below 10 units, none from 10 on; whole bytes."""
-    step = F.when(size < 1024, 0).otherwise(F.least(F.floor(F.log(F.lit(1024.0), size.cast("double")) + 1e-12), F.lit(4)))
+    step = F.when(size < 1024, 0).otherwise(F.least(F.floor(F.log(1024.0, size.cast("double")) + 1e-12), F.lit(4)))
     value = size / F.pow(F.lit(1024.0), step)
     unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")]), (step + 1).cast("int"))
     number = F.when((step > 0) & (value < 10), F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
