@@ -87,6 +87,23 @@ def roots(close: np.ndarray, rid: np.ndarray) -> np.ndarray:
         root = new
 
 
+def marked(rows: DataFrame, likely: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """``bucket, rid`` of the rows for which ``likely`` holds with another one of their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for table in groups(batches, ("bucket", "cell")):
+            if table.num_rows > 1 and (some := likely(table).any(1)).any():
+                found.append((table.column("bucket").to_numpy()[some], table.column("rid").to_numpy()[some]))
+            if len(found) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["bucket", "rid"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["bucket", "rid"])
+
+    return in_groups(rows).mapInArrow(run, "bucket long, rid long")
+
+
 def compare(rows: DataFrame, closeness: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """``rid, links, root`` of rows linked inside a cell, from ``bucket, cell, chunk, rid, n, buckets, ...``.
 

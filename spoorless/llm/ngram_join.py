@@ -27,6 +27,8 @@ RECALL = 0.99
 SIGHT = 0.5
 #: Sets of a cell when a bucket is compared in pieces.
 PIECE = 512
+#: Up to so many documents are looked up by a broadcast of their ids; beyond, by a shuffle.
+BROADCAST_IDS = 500_000
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -136,16 +138,21 @@ def chosen_paths(sets: DataFrame, runs: int, limit: int = LIMIT, depth: int = DE
     return ends
 
 
+def _likely(table: pa.Table, jaccard: float) -> np.ndarray:
+    """Pairs that their signatures and sizes don't rule out."""
+    m = table.num_rows
+    agree = np.zeros((m, m), np.int16)
+    for column in np.stack(blocks.lists(table, "signature")).T:
+        agree += column[:, None] == column[None, :]
+    sizes = table.column("size").to_numpy()
+    likely = (agree >= SIGHT * SIGNATURE) & (np.minimum(sizes[:, None], sizes[None, :]) >= jaccard * np.maximum(sizes[:, None], sizes[None, :]))
+    np.fill_diagonal(likely, False)
+    return likely
+
+
 def _close(jaccard: float):
     def closeness(table: pa.Table) -> np.ndarray:
-        m = table.num_rows
-        signatures = np.stack(blocks.lists(table, "signature"))
-        agree = np.zeros((m, m), np.int16)
-        for column in signatures.T:
-            agree += column[:, None] == column[None, :]
-        sizes = table.column("size").to_numpy()
-        likely = (agree >= SIGHT * SIGNATURE) & (np.minimum(sizes[:, None], sizes[None, :]) >= jaccard * np.maximum(sizes[:, None], sizes[None, :]))
-        np.fill_diagonal(likely, False)
+        m, sizes, likely = table.num_rows, table.column("size").to_numpy(), _likely(table, jaccard)
         used = np.flatnonzero(likely.any(1))
         close = np.zeros((m, m), bool)
         if not len(used):
@@ -189,10 +196,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD,
     classes = cut(cut(grouped).withColumn("rid", F.monotonically_increasing_id()))
     ends = chosen_paths(classes.select("rid", "signature"), runs_for(recall, DEPTH, jaccard))
     ends = cut(ends.dropDuplicates(["bucket", "rid"]))
-    sizes = ends.select("bucket", "size").distinct()
+    # sets that no other set of their bucket is like, by signature, are left out before whole sets are sent around
+    first = blocks.deal(ends.select("bucket", "rid"), ends.select("bucket", "size").distinct(), PIECE).join(classes.select("rid", F.col("size"), "signature"), "rid")
+    ends = cut(blocks.marked(first.select("bucket", "cell", "rid", "size", "signature"), lambda table: _likely(table, jaccard)).distinct())
+    sizes = ends.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     buckets = ends.groupBy("rid").agg(F.collect_list("bucket").alias("buckets"))  # a few a run
-    wanted = classes.join(buckets, "rid").select("rid", "n", "size", "signature", "buckets", "c1", "c2", "copy_id")
+    wanted = cut(classes.join(buckets, "rid").select("rid", "n", "size", "signature", "buckets", "c1", "c2", "copy_id"))
     named = wanted.select(F.col("copy_id").alias("doc_id")).distinct()
+    named = F.broadcast(named) if wanted.count() <= BROADCAST_IDS else named
     grams = gram_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), words).dropDuplicates(["c1", "c2"])
     whole = wanted.join(grams, ["c1", "c2"]).select("rid", "n", "size", "signature", "buckets", "grams")
     dealt = blocks.deal(ends.select("bucket", "rid"), sizes, PIECE).join(whole, "rid")
