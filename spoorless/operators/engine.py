@@ -8,7 +8,6 @@ Whatever is wrong with a file becomes a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, markup
 from ..schemas import ERRORS, FINDINGS, MAX_INPUT_BYTES, SEGMENT, Options, Refused
-from . import containers, office, pdf
+from . import containers, office, pdf, queue
 
 # Extended attributes that are private.
 PRIVATE_XATTRS = (
@@ -41,20 +40,24 @@ def prepared(files: DataFrame) -> DataFrame:
     name = formats.file_name(F.col("path"))
     fits = F.col("length") <= MAX_INPUT_BYTES
     rows = files.select("path", name.alias("name"), formats.extension(name).alias("ext"), F.col("length").alias("size"), F.when(fits, F.col("content")).alias("content"), _xattr_finding(files).alias("extra"))
-    return rows.withColumn("format", F.when(F.col("size") > MAX_INPUT_BYTES, "Unknown").otherwise(formats.detect(F.col("ext"), F.col("content"))))
+    found = F.when(F.col("size") > MAX_INPUT_BYTES, "Unknown").otherwise(formats.detect(F.col("ext"), F.col("content")))
+    return once(rows.withColumn("_found", found), "format", F.col("_found")).drop("_found")
 
 
-def _families(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    text = rows.filter(F.col("format") == "Text")
-    binary = rows.filter(F.col("format").isin(*containers.WALKERS, "Office", "PDF"))
-    other = rows.filter(F.col("format").isin("Unsupported", "Unknown"))
-    return text, binary, other
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once, whatever is asked of it above.
+
+    Exploding an array of one keeps the optimiser from moving conditions on the column, and with them all of
+    its expression, below.
+    """
+    return rows.withColumn(name, F.explode(F.array(value)))
 
 
-def _refusal(rows: DataFrame) -> tuple[Column, Column]:
-    large = F.col("format") == "Unknown"
-    code = F.when(large, "TooLarge").otherwise("Unsupported")
-    return code, F.when(large, F.concat(F.lit(ERRORS["TooLarge"]), "path")).otherwise(F.lit(ERRORS["Unsupported"] + UNSUPPORTED_DETAIL))
+def _refusal() -> tuple[Column, Column]:
+    """Code and text for what no family takes; null for the rest."""
+    large, unknown = F.col("format") == "Unknown", F.col("format") == "Unsupported"
+    code = F.when(large, "TooLarge").when(unknown, "Unsupported")
+    return code, F.when(large, F.concat(F.lit(ERRORS["TooLarge"]), "path")).when(unknown, F.lit(ERRORS["Unsupported"] + UNSUPPORTED_DETAIL))
 
 
 def inspect_bytes(name: str, data: bytes) -> list[dict]:
@@ -78,46 +81,43 @@ def verify_bytes(name: str, data: bytes, options: Options) -> None:
 _FINDING_TYPE = pa.list_(pa.struct([("category", pa.string()), ("label", pa.string()), ("count", pa.int64()), ("severity", pa.string())]))
 
 
-def _kernel(rows: DataFrame, options: Options | None) -> DataFrame:
-    """Inspect, or clean and verify, each container once: ``findings, cleaned, error_code, error`` beside its row."""
+_RESULT = f"struct<findings: {FINDINGS}, cleaned: binary, code: string, error: string>"
+_RESULT_TYPE = pa.struct([("findings", _FINDING_TYPE), ("cleaned", pa.binary()), ("code", pa.string()), ("error", pa.string())])
+
+
+def _kernel(options: Options | None) -> Column:
+    """Inspect, or clean and verify, each container once. Rows of other families carry no bytes into Python."""
 
-    def one(name: str, data: bytes) -> tuple:
+    def one(name: str, data: bytes) -> dict:
         try:
             if options is None:
-                return inspect_bytes(name, data), None, None, None
+                return {"findings": inspect_bytes(name, data)}
             cleaned, removed = clean_bytes(name, data, options)
             verify_bytes(name, cleaned, options)
-            return removed, cleaned, None, None
+            return {"findings": removed, "cleaned": cleaned}
         except Refused as refused:
-            return [], None, refused.code, refused.text
+            return {"findings": [], "code": refused.code, "error": refused.text}
         except (RecursionError, ValueError, IndexError, KeyError, OverflowError, AttributeError, TypeError) as broken:  # a file that no check foresaw
-            return [], None, "InvalidFormat", ERRORS["InvalidFormat"] + type(broken).__name__
+            return {"findings": [], "code": "InvalidFormat", "error": ERRORS["InvalidFormat"] + type(broken).__name__}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time, so a batch of results never holds several
-                row = batch.slice(k, 1)
-                out = one(row.column("format")[0].as_py(), row.column("content")[0].as_py())
-                kinds = (_FINDING_TYPE, pa.binary(), pa.string(), pa.string())
-                columns = [*(row.column(c) for c in ("path", "name", "ext", "size", "format", "extra")), *(pa.array([v], t) for v, t in zip(out, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "name", "ext", "size", "format", "extra", "findings", "cleaned", "error_code", "error"])
+    @F.arrow_udf(_RESULT)
+    def kernel(names: pa.Array, contents: pa.Array) -> pa.Array:
+        return pa.array([one(n.as_py(), c.as_py()) if c.is_valid else None for n, c in zip(names, contents, strict=True)], _RESULT_TYPE)
 
-    schema = f"path string, name string, ext string, size bigint, format string, extra {FINDINGS}, findings {FINDINGS}, cleaned binary, error_code string, error string"
-    return rows.select("path", "name", "ext", "size", "format", "extra", "content").mapInArrow(run, schema)
+    binary = F.col("format").isin(*containers.WALKERS, "Office", "PDF")
+    return kernel(F.col("format"), F.when(binary, F.col("content")))
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """A report a file: ``path, name, format, size, supported, findings, error_code, error``."""
-    text, binary, other = _families(prepared(files))
-    none = F.lit(None).cast("string")
-    body = F.col("content").cast("string")
-    texts = text.select("path", "name", "format", "size", F.concat(markup.text_findings(body, F.col("ext")), "extra").alias("findings"), none.alias("error_code"), none.alias("error"))
-    binaries = _kernel(binary, None).select("path", "name", "format", "size", F.when(F.col("error").isNull(), F.concat("findings", "extra")).otherwise(F.array().cast(FINDINGS)).alias("findings"), "error_code", "error")
-    code, shown = _refusal(other)
+    """A report a file: ``path, name, format, size, supported, findings, error_code, error``. Files are read once."""
+    rows = prepared(files)
+    text = F.when(F.col("format") == "Text", markup.text_findings(F.col("content").cast("string"), F.col("ext")))
+    rows = rows.select("path", "name", "format", "size", "extra", text.alias("text"), _kernel(None).alias("k"))
+    refused, shown = _refusal()
+    error = F.coalesce(shown, F.col("k.error"))
+    found = F.when(error.isNull(), F.concat(F.coalesce("text", "k.findings"), "extra")).otherwise(F.array().cast(FINDINGS))
     size = F.when(F.col("format") == "Unknown", 0).otherwise(F.col("size"))
-    others = other.select("path", "name", "format", size.alias("size"), F.array().cast(FINDINGS).alias("findings"), code.alias("error_code"), shown.alias("error"))
-    every = reduce(DataFrame.unionByName, (texts, binaries, others))
-    return every.select("path", "name", "format", "size", F.col("error").isNull().alias("supported"), "findings", "error_code", "error")
+    return rows.select("path", "name", "format", size.alias("size"), error.isNull().alias("supported"), found.alias("findings"), F.coalesce(refused, F.col("k.code")).alias("error_code"), error.alias("error"))
 
 
 def clean(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -125,24 +125,25 @@ def clean(files: DataFrame, options: Options = Options()) -> DataFrame:
 
     ``cleaned`` is null wherever an error stands, so nothing unverified can reach a sink.
     """
-    text, binary, other = _families(prepared(files))
-    body, none = F.col("content").cast("string"), F.lit(None).cast("string")
-    texts = text.withColumn("candidate", markup.clean_markup(body, F.col("ext"))).withColumn("findings", markup.text_findings(body, F.col("ext")))
-    left = F.aggregate(markup.text_findings(F.col("candidate"), F.col("ext")), F.lit(0).cast("long"), lambda total, f: total + f["count"])
-    now = formats.detect(F.col("ext"), F.encode("candidate", "UTF-8"))
-    wrong = F.when(now != "Text", F.concat(F.lit(ERRORS["Verification"] + "Text -> "), now)).when(left > 0, F.concat(F.lit(ERRORS["Verification"] + "Text: "), left.cast("string"), F.lit(" traces left")))
-    texts = texts.withColumn("error", wrong).select("path", "name", "format", "size", F.encode("candidate", "UTF-8").alias("cleaned"), "findings", "extra", F.when(F.col("error").isNotNull(), "Verification").alias("error_code"), "error")
-    binaries = _kernel(binary, options).select("path", "name", "ext", "format", "size", "cleaned", "findings", "extra", "error_code", "error")
-    became = formats.detect(F.col("ext"), F.col("cleaned"))
-    changed = F.col("cleaned").isNotNull() & (became != F.col("format"))
-    binaries = binaries.withColumn("error", F.when(changed, F.concat(F.lit(ERRORS["Verification"]), "format", F.lit(" -> "), became)).otherwise(F.col("error"))).withColumn("error_code", F.when(changed, "Verification").otherwise(F.col("error_code"))).drop("ext")
-    code, shown = _refusal(other)
-    others = other.select("path", "name", "format", "size", F.lit(None).cast("binary").alias("cleaned"), F.array().cast(FINDINGS).alias("findings"), "extra", code.alias("error_code"), shown.alias("error"))
-    every = reduce(DataFrame.unionByName, (texts, binaries, others))
+    rows = prepared(files)
+    is_text, body = F.col("format") == "Text", F.col("content").cast("string")
+    texts = F.when(is_text, F.struct(markup.clean_markup(body, F.col("ext")).alias("candidate"), markup.text_findings(body, F.col("ext")).alias("findings")))
+    rows = once(rows.select("path", "name", "ext", "format", "size", "extra", _kernel(options).alias("k"), texts.alias("_t")), "t", F.col("_t"))
+    rows = rows.withColumn("bytes", F.coalesce(F.encode("t.candidate", "UTF-8"), "k.cleaned")).withColumn("removed", F.coalesce("t.findings", "k.findings"))
+    left = F.when(is_text, queue.residual(markup.text_findings(F.col("t.candidate"), F.col("ext"))))
+    checks = F.struct(formats.detect(F.col("ext"), F.col("bytes")).alias("now"), left.alias("left"))
+    rows = once(rows.select("path", "name", "format", "size", "extra", "k", "bytes", "removed", checks.alias("_c")), "c", F.col("_c"))
+    refused, shown = _refusal()
+    changed = F.col("bytes").isNotNull() & (F.col("c.now") != F.col("format"))
+    text = (
+        F.when(changed, F.concat(F.lit(ERRORS["Verification"]), "format", F.lit(" -> "), "c.now"))
+        .when(F.col("c.left") > 0, F.concat(F.lit(ERRORS["Verification"] + "Text: "), F.col("c.left").cast("string"), F.lit(" traces left")))
+    )
+    rows = rows.withColumn("error", F.coalesce(shown, F.col("k.error"), text)).withColumn("error_code", F.coalesce(refused, F.col("k.code"), F.when(text.isNotNull(), "Verification")))
     fine = F.col("error").isNull()
-    removed = F.concat("findings", "extra") if options.remove_extended_attributes else F.col("findings")
-    return every.select(
-        "path", "name", "format", F.when(fine, F.col("size")).alias("source_size"), F.when(fine, F.col("cleaned")).alias("cleaned"), F.when(fine, F.length("cleaned").cast("long")).alias("output_size"),
+    removed = F.concat("removed", "extra") if options.remove_extended_attributes else F.col("removed")
+    return rows.select(
+        "path", "name", "format", F.when(fine, F.col("size")).alias("source_size"), F.when(fine, F.col("bytes")).alias("cleaned"), F.when(fine, F.length("bytes").cast("long")).alias("output_size"),
         F.when(fine, removed).otherwise(F.array().cast(FINDINGS)).alias("removed"), fine.alias("success"), "error_code", "error",
     )
 

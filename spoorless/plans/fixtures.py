@@ -123,17 +123,20 @@ def _part(name: str, kind: str, p: Column) -> Column:
 def containers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``path, length, content``: one file of the format for each document; private parts by doc_id."""
     ext, parts = CONTAINERS[name]
-    key, p = F.col("doc_id"), F.encode(F.substring("text", F.lit(1), (F.col("doc_id") % 23).cast("int")), "UTF-8")
-    pieces = [F.when(key % every == 0, _part(name, kind, p)).otherwise(_raw(b"")) for kind, _, every, _, _ in parts]
-    body = F.concat(*pieces)
+    key, p, body = F.col("doc_id"), F.col("payload"), F.col("body")
+    # a column at a time: what is used more than once is put together once
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", F.lit(1), (key % 23).cast("int")), "UTF-8").alias("payload"))
+    rows = rows.withColumns({f"part{k}": F.when(key % every == 0, _part(name, kind, p)).otherwise(_raw(b"")) for k, (kind, _, every, _, _) in enumerate(parts)})
+    pieces = [F.col(f"part{k}") for k in range(len(parts))]
+    if name == "iso":  # the second part stands inside the movie atom
+        pieces[1] = F.concat(_big(F.length(pieces[1]) + 8), _raw(b"moov"), pieces[1])
+    rows = rows.select("doc_id", "payload", F.concat(*pieces).alias("body")).withColumn("size", F.length("body"))
     if name in PADDED:
-        content = F.concat(_raw(b"RIFF"), _little(F.length(body) + 4), _raw(b"WEBP" if name == "webp" else b"WAVE"), body)
-    elif name == "iso":  # the second part stands inside the movie atom
-        inner = F.concat(_big(F.length(pieces[1]) + 8), _raw(b"moov"), pieces[1])
-        content = F.concat(pieces[0], inner, pieces[2], pieces[3])
+        content = F.concat(_raw(b"RIFF"), _little(F.col("size") + 4), _raw(b"WEBP" if name == "webp" else b"WAVE"), body)
     else:
-        before = {"png": b"\x89PNG\r\n\x1a\n", "flac": b"fLaC", "jpeg": b"\xff\xd8", "gif": b"GIF89a" + bytes(7), "mp3": b""}[name]
+        before = {"png": b"\x89PNG\r\n\x1a\n", "flac": b"fLaC", "jpeg": b"\xff\xd8", "gif": b"GIF89a" + bytes(7)}.get(name, b"")
         after = {"flac": F.concat(_raw(b"\xff\xf8"), p), "jpeg": F.concat(_raw(b"\xff\xda"), p, _raw(b"\xff\xd9")), "gif": _raw(b"\x3b")}.get(name, _raw(b""))
         content = F.concat(_raw(before), body, after)
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), key.cast("string"), F.lit(f".{ext}")).alias("path"), content.alias("content"))
-    return rows.select("path", F.length("content").cast("long").alias("length"), "content")
+    path = F.concat(F.lit("/in/"), key.cast("string"), F.lit(f".{ext}"))
+    # exploded from an array of one: else each condition on the bytes would be moved below, with all of this in it
+    return rows.select(path.alias("path"), F.explode(F.array(content)).alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
