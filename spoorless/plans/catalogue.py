@@ -257,6 +257,30 @@ def verify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.count_if("fine").alias("verified"))
 
 
+_MADE = {
+    "office": ("docx", "SELECT doc_id, '文档属性与作者信息' AS label, 1::BIGINT AS count FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '批注与自定义 XML', 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, '修订记录', 2 FROM documents WHERE doc_id % 5 = 0"),
+    "pdf": ("pdf", "SELECT doc_id, 'PDF 文档属性 / XMP' AS label, CAST((doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT AS BIGINT) AS count FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"),
+}
+
+
+def _made_queries(name: str, ext: str, sql: str) -> None:
+    @register(f"{name}_findings", sql)
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _key(engine.scan(fx.made(spark, sf_dir, ext)), "doc_id").select("doc_id", F.explode("findings").alias("f"))
+        return rows.select("doc_id", "f.label", "f.count")
+
+    @register(f"{name}_clean", f"SELECT doc_id, coalesce(n, 0)::BIGINT AS removed, true AS success, 0::BIGINT AS found_after FROM documents LEFT JOIN (SELECT doc_id, sum(count) AS n FROM ({sql}) GROUP BY doc_id) USING (doc_id)")
+    def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cleaned = engine.clean(fx.made(spark, sf_dir, ext))
+        again = engine.scan(cleaned.select("path", F.col("output_size").alias("length"), F.col("cleaned").alias("content"))).select("path", queue.residual(F.col("findings")).alias("found_after"))
+        rows = _key(cleaned.select("path", queue.residual(F.col("removed")).alias("removed"), "success").join(again, "path"), "doc_id")
+        return rows.select("doc_id", "removed", "success", "found_after")
+
+
+for _name, (_ext, _sql) in _MADE.items():
+    _made_queries(_name, _ext, _sql)
+
+
 # --- queue and reports -----------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ The tables hold no private traces of their own, so each registered query plants
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +141,38 @@ def containers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = F.concat(F.lit("/in/"), key.cast("string"), F.lit(f".{ext}"))
     # exploded from an array of one: else each condition on the bytes would be moved below, with all of this in it
     return rows.select(path.alias("path"), F.explode(F.array(content)).alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+def _office(key: int, text: str) -> bytes:
+    import io
+    import zipfile
+
+    out, body = io.BytesIO(), "".join(c for c in text[:50] if c.isalnum())
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("docProps/core.xml", f"<dc:creator>{body}</dc:creator><dc:title/>" if key % 2 == 0 else "<dc:title/>")
+        if key % 3 == 0:
+            z.writestr("word/comments.xml", body)
+        z.writestr("word/document.xml", f"<w:p>{body}</w:p>" + (f"<w:ins>{body}</w:ins><w:del>old</w:del>" if key % 5 == 0 else ""))
+    return out.getvalue()
+
+
+def _pdf(key: int, text: str) -> bytes:
+    body = "".join(c for c in text[:50] if c.isascii() and c.isalnum()).encode()
+    parts = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[]/Count 0>>", b"<</Author (" + body + b")>>"]
+    if key % 3 == 0:
+        parts.append(b"<</Type/Metadata/Length %d>>\nstream\n" % len(body) + body + b"\nendstream")
+    out = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % (k + 1) + p + b"\nendobj\n" for k, p in enumerate(parts))
+    return out + b"trailer\n<</Root 1 0 R" + (b"/Info 3 0 R" if key % 2 == 0 else b"") + b">>\n"
+
+
+def made(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """A document or PDF for each row of ``documents``: properties, comments and revisions by doc_id."""
+    build = {"docx": _office, "pdf": _pdf}[ext]
+
+    @F.arrow_udf("binary")
+    def content(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([build(k.as_py(), t.as_py() or "") for k, t in zip(keys, texts, strict=True)], pa.binary())
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", content("doc_id", F.substring("text", 1, 60)).alias("content"))
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(f".{ext}"))
+    return rows.select(path.alias("path"), F.length("content").cast("long").alias("length"), "content")
