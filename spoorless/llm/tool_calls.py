@@ -69,6 +69,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema]) -> Data
     the least text counts; a null identifier links with nothing; repeated calls give a row each; empty tables
     give no rows; other columns are not read.
     """
+    calls = calls.select("conv_id", "call_id", "parent_id", "name", "arguments")
     one = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(F.col("content"))).alias("result"))
     joined = calls.join(one, "call_id", "left").join(levels(calls), "call_id", "left")
     wrong = problems(F.col("name"), F.col("arguments"), tools)
