@@ -32,7 +32,8 @@ def _pattern() -> str:
     for marks, block in NEIGHBOURS:
         mark, beside = char_class(marks), char_class(block)
         stays += [f"(?<={beside}){mark}(?={some})", f"(?<={some}){mark}(?={beside})"]
-    return f"(?!{'|'.join(stays)}){char_class(*INVISIBLE)}"
+    hidden = char_class(*INVISIBLE)
+    return f"(?={hidden})(?!{'|'.join(stays)}){hidden}"  # the class first: most characters fail it at once
 
 
 INVISIBLE_PATTERN = _pattern()
