@@ -34,6 +34,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Names for columns of one's own, which no column of ``df`` has, whatever the case."""
+    taken, names, k = {c.lower() for c in df.columns}, [], 0
+    while len(names) < count:
+        if f"own_{k}" not in taken:
+            names.append(f"own_{k}")
+        k += 1
+    return names
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits of a text, as an array; null text gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
