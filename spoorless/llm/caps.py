@@ -103,7 +103,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIE
 
     Input: ``vec_id, embedding, label``. Equal vectors of a label are one class, compared once; a null label
     and a vector that is null, empty, zero or holds null or non-finite components link with nothing and
-    are their own component; vectors of unlike lengths don't link. Repeated rows count each. An empty
+    are their own component; vectors of unlike lengths don't link. Repeated rows count each, and a vec_id
+    with several vectors has a row for each; a null vec_id names a component only if it has no other. An empty
     table gives no rows; other columns are not read. No filter's vectors are gathered: those of a full
     filter are dealt over cells of two pieces, and each pair is counted by the smallest filter it shares.
     """
@@ -111,9 +112,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIE
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite, F.lit(False)))
     good = rows.filter("ok").select("vec_id", "label", "embedding")
-    # a class is named by its smallest vec_id; hot classes are grouped partially before the shuffle
-    classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n")))
-    coded = cut(_filters(classes.select(F.col("rid").cast("long"), "label", "n", "embedding")))
+    # hot classes are grouped partially before the shuffle; a class has a number of its own, as a vec_id may be repeated
+    grouped = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    classes = cut(grouped.withColumn("rid", F.monotonically_increasing_id()))
+    coded = cut(_filters(classes.select("rid", "label", "n", "embedding")))
     name = F.xxhash64("label", "dim", "filter")  # should two filters share a name, kinds still tell their vectors apart
     each = coded.select("rid", "label", "dim", F.explode("filters").alias("filter")).select("rid", name.alias("bucket"))
     each = cut(each)
@@ -123,8 +125,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIE
     found = cut(blocks.compare(dealt.select("bucket", "cell", "chunk", "rid", "n", "kind", "embedding", "buckets"), _close(cosine)))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    known = classes.join(links, "rid", "left").join(groups.withColumnRenamed("node", "rid"), "rid", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component_id"))
+    reach = groups.withColumnRenamed("node", "rid")
+    names = reach.join(classes.select("rid", "least"), "rid").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = classes.join(links, "rid", "left").join(reach.join(names, "component").select("rid", "component_id"), "rid", "left")
+    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Runs of letters, by Unicode's letter categories: \\w without digits, the underscore and what else is numeric.
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())}]+")
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,11 +49,6 @@ def free_names(df: DataFrame, count: int) -> list[str]:
     return names
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of a text, as an array; null text gives none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

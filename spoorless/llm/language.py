@@ -2,175 +2,184 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import LETTERS, load
 
-#: Labelled documents a language that the model is fitted on, about; and words kept of each language.
-FIT_DOCUMENTS, VOCABULARY = 2_500, 30_000
+#: The bounded sample that the model is fitted on: the most frequent languages, and labelled documents of each, about.
+LANGUAGES, FIT_DOCUMENTS = 200, 600
 #: Longest n-gram of a word between its edge marks.
 LONGEST = 5
 #: A document's evidence is that of so many of its average words at most, so that scores stay graded.
 WORDS_COUNTED = 24.0
 #: Words whose evidence a Python worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Documents below this score are rejected by the filter.
 ACCEPTED = 0.5
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def grams_of(word: str, size: int) -> list[str]:
+    """Runs of ``size`` characters of a word between its edge marks, without those of marks alone."""
+    marked = f"^{word}$"
+    return [g for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) not in "^$"]
+
+
+class Table:
+    """Rows of smoothed log frequencies by language, one an entry, in a single matrix."""
+
+    def __init__(self, counts: dict[str, np.ndarray], languages: int):
+        self.rows = {key: i for i, key in enumerate(counts)}
+        values = np.array(list(counts.values()), np.float64).reshape(len(counts), languages)
+        logs = np.log((values + 0.1) / (values.sum(0) + 0.1 * max(1, len(values))))
+        # centred for each entry: only the differences between languages count
+        self.logs = (logs - logs.sum(1, keepdims=True) / max(1, languages)).astype(np.float32)
 
 
 class Backoff:
-    """Log probabilities of words and, for n = LONGEST to 1, of n-grams, by language."""
+    """Log frequencies of words and, for n = LONGEST to 1, of n-grams, by language."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
         n = len(self.languages)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(LONGEST + 1)]
+        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n, np.float32))
+        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n, np.float32)) for _ in range(LONGEST + 1)]
         for k, language in enumerate(self.languages):
             for word, count in counts[language].items():
                 words[word][k] += count
-                for size, gram in self._grams(word):
-                    grams[size][gram][k] += count
-        self.prior = np.log(np.full(n, 1 / max(n, 1)))
-        self.words = self._logs(words)
-        self.grams = [self._logs(g) for g in grams]
-
-    @staticmethod
-    def _grams(word: str) -> Iterator[tuple[int, str]]:
-        marked = f"^{word}$"
-        for size in range(1, LONGEST + 1):
-            for i in range(len(marked) - size + 1):
-                yield size, marked[i : i + size]
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        keys, values = list(table), np.array(list(table.values()))
-        # smoothed, and centred for each entry: only the differences between languages count
-        logs = np.log((values + 0.1) / (values.sum(0) + 0.1 * len(keys)))
-        logs -= logs.mean(1, keepdims=True)
-        return dict(zip(keys, logs.astype(np.float32), strict=True))
+                for size in range(1, LONGEST + 1):
+                    for gram in grams_of(word, size):
+                        grams[size][gram][k] += count
+        self.words = Table(words, n)
+        self.grams = [Table(g, n) for g in grams]
 
     def evidence(self, word: str) -> np.ndarray | None:
         """Of a known word its own; else the mean over its longest n-grams of which any are known."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        marked = f"^{word}$"
+        if (at := self.words.rows.get(word)) is not None:
+            return self.words.logs[at]
         for size in range(LONGEST, 0, -1):
             table = self.grams[size]
-            found = [table[g] for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) in table and g not in "^$"]
+            found = [table.rows[g] for g in grams_of(word, size) if g in table.rows]
             if found:
-                return np.mean(found, 0)
+                return table.logs[found].sum(0) / len(found)
         return None
 
-    def predict(self, text: str | None, seen: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        """Language and score. ``seen`` remembers words. No letters: undetermined, 0.0."""
-        counts = Counter(_WORD.findall((text or "").lower()))
-        if not counts:
-            return UNDETERMINED, 0.0
-        if not self.languages:
+
+class Judge:
+    """Language and score of texts; remembers the evidence of the words met."""
+
+    def __init__(self, model: Backoff, remembered: int = REMEMBERED):
+        self.model, self.most = model, remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.model.languages)), np.float32)  # row 0: words that say nothing
+        self.used = 1
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.at) + len(words) > self.most:
+            self._forget()
+        for word in words.difference(self.at):
+            row = self.model.evidence(word)
+            if row is None:
+                self.at[word] = 0
+                continue
+            if self.used == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self.used] = row
+            self.at[word] = self.used
+            self.used += 1
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = LETTERS.findall((text or "").lower())
+        languages = self.model.languages
+        if not words or not languages:
             return UNDETERMINED, 0.0
-        total, weight = np.zeros(len(self.languages)), 0
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        rows, times = [], []
-        for word, n in counts.items():
-            if word not in seen:
-                seen[word] = self.evidence(word)
-            if (row := seen[word]) is not None:
-                rows.append(row)
-                times.append(n)
-        if rows:
-            times = np.asarray(times, np.float64)
-            weight = times.sum()
-            total = times @ np.asarray(rows)
+        total, weight = np.zeros(len(languages)), 0
+        for begin in range(0, len(words), 65_536):  # a very long text in parts
+            part = words[begin : begin + 65_536]
+            self._learn(set(part))
+            rows = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            total += self.table[rows].sum(0, dtype=np.float64)
+            weight += int(np.count_nonzero(rows))
+        if weight:
             total *= min(1.0, WORDS_COUNTED / weight)
-        logs = self.prior + total
-        p = np.exp(logs - logs.max())
+        p = np.exp(total - total.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        return languages[best], float(p[best])
 
 
-def fit(rows: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int = VOCABULARY) -> Backoff:
+def fit(rows: DataFrame, documents: int = FIT_DOCUMENTS, languages: int = LANGUAGES) -> Backoff:
     """Fit on labelled ``text, lang, doc_id`` rows; null texts and languages are left out.
 
-    Of each language about ``documents`` rows, chosen by a hash of the id, and of their words the
-    ``vocabulary`` most frequent: the model, all that reaches the driver, stays this size for any input.
+    The sample is bounded: of each of the ``languages`` most frequent languages about ``documents`` rows,
+    chosen by a hash of the id, with all of their words. It is all that reaches the driver.
     """
     labelled = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    by_size = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in by_size.collect()}
     if not sizes:
         return Backoff({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, documents / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.filter(draw < share[F.col("lang")])
+    sample = labelled.filter(draw < F.try_element_at(share, F.col("lang")))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    kept = counted.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= vocabulary)
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for row in kept.select("lang", "word", "n").toLocalIterator():
+    for row in words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         counts[row["lang"]][row["word"]] = row["n"]
     return Backoff(counts)
 
 
-def predict(docs: DataFrame, model: Backoff, keep: list[str]) -> DataFrame:
-    """``lang_pred, score`` of every whole text, next to the columns in ``keep``. Only the text is an input."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        for batch in batches:
-            found = [model.predict(t.as_py(), seen) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
-
-
 def held_out() -> F.Column:
     """Documents that the registered query neither learns from nor counts: those of remainder 1."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int = VOCABULARY) -> DataFrame:
+def identify(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> DataFrame:
     """Language of every text of ``doc_id, text, lang, ...``, learned from the rows that are not held out.
 
-    Returns ``doc_id, held_out, lang_pred, score``. Null texts and texts without letters are ``und`` with
-    score 0.0, and so is everything if nothing is labelled. Words of which not even a letter is known say
-    nothing; without any evidence the languages are equally likely and the first by name is returned.
-    Equal texts get equal results; other columns are not read; an empty table gives no rows.
+    Returns ``doc_id, held_out, lang_pred, score``. Null texts and texts without letters (of Unicode's
+    letter categories) are ``und`` with score 0.0, and so is everything if nothing is labelled. Words of
+    which not even a letter is known say nothing; without any evidence the languages are equally likely
+    and the first by name is returned. A null doc_id is a document like any other. Equal texts get equal
+    results, whatever their length or neighbours; other columns are not read; an empty table gives no rows.
     """
-    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), documents, vocabulary)
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model)
+        for batch in batches:
+            found = [judge.predict(t.as_py()) for t in batch.column(2)]
+            columns = [*batch.columns[:2], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
     """The documents whose language is determined with a score of at least ``accepted``, columns as they are."""
     model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    judged = predict(docs, model, docs.columns)
-    names = [f"`{c}`" for c in docs.columns]
-    if {"lang_pred", "score"} & set(docs.columns):  # such columns of the input would clash: judge beside it
-        renamed = docs.toDF(*[f"_{c}" if c in ("lang_pred", "score") else c for c in docs.columns])
-        kept = keep_identified(renamed, accepted)
-        return kept.toDF(*docs.columns)
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= accepted)).select(*names)
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1_000):
+                part = batch.slice(begin, 1_000)
+                found = [judge.predict(t.as_py()) for t in part.column(at)]
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= accepted for lang, score in found], pa.bool_()))
 
-def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(load(spark, sf_dir, "documents"))
+    return docs.mapInArrow(run, docs.schema)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))

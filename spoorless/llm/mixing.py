@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import cut, free_names, load
 
 #: Up to so many sources, their rates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -53,23 +53,25 @@ def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    rates = cut(rates.withColumnRenamed("source", "rate_source"))
+    (own,) = free_names(rows, 3)[2:]  # beside the names that a caller has taken
+    rates = cut(rates.withColumnRenamed("source", own))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    return rows.join(rates, rows["source"].eqNullSafe(rates["rate_source"])).drop("rate_source")
+    return rows.join(rates, F.col("source").eqNullSafe(F.col(own))).drop(own)
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), seed: str = "mix") -> DataFrame:
     """Emit each document of ``doc_id, text, source, ...`` as often as its source's rate says.
 
     Null and empty texts have size 0 and follow their source's rate; a source whose sizes are all 0 has
-    rate 0. Null sources form one source. Repeated rows draw alike. An empty table gives an empty one.
-    Other columns are kept as they are.
+    rate 0. Null sources form one source. Rows without an id draw alike, and so do repeated rows. An empty
+    table gives an empty one. Other columns, whatever their names, are kept as they are.
     """
     rates = source_rates(docs.select("source", size_of(F.col("text")).alias("size")), share, cap, weights)
-    marked = _with_rates(docs.withColumn("_one", F.lit(True)), rates.select("source", F.col("rate").alias("_rate")))
-    times = F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("doc_id"), seed).cast("int"))
-    return marked.withColumn("_copy", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rate, copy = free_names(docs, 2)
+    marked = _with_rates(docs, rates.select("source", F.col("rate").alias(rate)))
+    times = F.array_repeat(F.lit(1), copies(F.col(rate), F.col("doc_id"), seed).cast("int"))
+    return marked.withColumn(copy, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def taken(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), seed: str = "mix") -> DataFrame:

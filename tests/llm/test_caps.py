@@ -26,7 +26,7 @@ def brute(rows, cosine=0.98):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, links string")
-    return sorted(map(tuple, caps.near_vectors(df, **options).collect()))
+    return sorted(map(tuple, caps.near_vectors(df, **options).collect()), key=str if any(r[0] is None for r in rows) else None)
 
 
 @pytest.mark.parametrize("piece", [1024, 7])
@@ -57,3 +57,9 @@ def test_list_decoding_finds_every_exceeding_filter():
         all_ = (parts[0][:, None, None] + parts[1][None, :, None] + parts[2][None, None, :]).ravel()
         spread = np.sqrt(sum((p**2).sum() / b.shape[1] for p, b in zip(np.split(x, cuts), book)))
         assert got.tolist() == np.flatnonzero(all_ >= min(1.5 * spread, all_.max() - 1e-9)).tolist()
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1)]
+    assert run(spark, rows) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)] == brute(rows)
+    assert sorted(run(spark, [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)]), key=str) == sorted([(None, 1, 3, False), (3, 1, 3, True), (None, 0, None, True)], key=str)

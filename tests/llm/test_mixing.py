@@ -51,3 +51,11 @@ def test_empty_and_wordless_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.taken(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in mixing.taken(spark.createDataFrame([(1, None, None)], schema)).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_columns_of_like_names_null_ids_and_long_texts(spark):
+    rows = [(1, "a b", "s", 1, "p", 0.5), (None, "c " * 100_000, "s", None, "q", None), (None, None, None, 3, None, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own_0 int, _one string, _rate double")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert sorted((r["doc_id"] or 0, r["size"], r["source_size"]) for r in mixing.taken(docs).collect()) == [(0, 0, 0), (0, 100_000, 100_002), (1, 2, 100_002)]

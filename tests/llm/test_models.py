@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -17,7 +18,7 @@ def test_language_on_held_out_rows(spark):
     rows = [(i, prose(lang, rng.randint(3, 60)), lang) for i in range(300) for lang in [rng.choice(list(SYLLABLES))]]
     odd = [(1000, None, "aa"), (1001, "", None), (1002, "12 %% 34", "bb"), (1003, rows[0][1], None), (1004, "漢字", None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows + odd], "doc_id long, text string, lang string, score string")
-    got = {r["doc_id"]: r for r in language.identify(docs, 80, 500).collect()}
+    got = {r["doc_id"]: r for r in language.identify(docs, 80).collect()}
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
     assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in rows if got[i]["held_out"]]) > 0.97
     assert [(got[i]["lang_pred"], got[i]["score"]) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
@@ -28,10 +29,68 @@ def test_language_on_held_out_rows(spark):
 
 def test_backoff_order():
     model = language.Backoff({"aa": {"kalo": 5, "mita": 2}, "bb": {"xezu": 5, "kal": 1}})
-    assert model.evidence("kalo") is model.words["kalo"]
+    assert (model.evidence("kalo") == model.words.logs[model.words.rows["kalo"]]).all()
     assert model.evidence("kalolo").argmax() == 0 and model.evidence("xezuzu").argmax() == 1
     assert model.evidence("漢") is None
-    assert language.Backoff({}).predict("abc", {}) == ("und", 0.0)
+    assert language.Judge(language.Backoff({})).predict("abc") == ("und", 0.0)
+    one = language.Judge(language.Backoff({"en": {"word": 1}}))
+    assert [one.predict(t) for t in ("½ ² ① Ⅷ", "_ 12", None, "")] == [("und", 0.0)] * 4 and one.predict("ǆ")[0] == "en"
+
+
+def test_language_scores_against_brute_force():
+    counts = {lang: {} for lang in SYLLABLES}
+    for lang in counts:
+        for word in prose(lang, 400).split():
+            counts[lang][word] = counts[lang].get(word, 0) + 1
+    names = sorted(counts)
+
+    def grams(word, n):
+        w = f"^{word}$"
+        return [w[i : i + n] for i in range(len(w) - n + 1) if w[i : i + n] not in ("^", "$")]
+
+    def frequencies(of):
+        table = {}
+        for k, lang in enumerate(names):
+            for word, n in counts[lang].items():
+                for x in of(word):
+                    table.setdefault(x, [0.0] * len(names))[k] += n
+        total = [sum(v[k] for v in table.values()) for k in range(len(names))]
+        return {x: [math.log((v[k] + 0.1) / (total[k] + 0.1 * len(table))) for k in range(len(names))] for x, v in table.items()}
+
+    tables = [frequencies(lambda w: [w]), *(frequencies(lambda w, n=n: grams(w, n)) for n in range(1, 6))]
+
+    def brute(text):
+        rows = []
+        for word in text.lower().split():
+            if word in tables[0]:
+                rows.append(tables[0][word])
+                continue
+            for n in (5, 4, 3, 2, 1):
+                found = [tables[n][g] for g in grams(word, n) if g in tables[n]]
+                if found:
+                    centred = [[x - sum(r) / len(r) for x in r] for r in found]
+                    rows.append([sum(r[k] for r in centred) / len(centred) for k in range(len(names))])
+                    break
+        rows = [[x - sum(r) / len(r) for x in r] for r in rows]
+        scale = min(1.0, 24 / len(rows)) if rows else 0
+        sums = [scale * sum(r[k] for r in rows) for k in range(len(names))]
+        p = [math.exp(x - max(sums)) for x in sums]
+        return names[p.index(max(p))], max(p) / sum(p)
+
+    judge = language.Judge(language.Backoff(counts), remembered=50)
+    for text in [*(prose(lang, n) for lang in names for n in (1, 2, 5, 40, 3000)), "漢字", "kalo xezu chsft", "kx"]:
+        got, want = judge.predict(text), brute(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-4, text
+
+
+def test_language_of_null_ids_long_texts_and_columns_of_like_names(spark):
+    long_text = prose("bb", 150_000)
+    rows = [(i, prose(lang, 30), lang, "x") for i, lang in enumerate(list(SYLLABLES) * 10)] + [(None, prose("aa", 20), None, "y"), (None, None, "aa", "z"), (99, long_text, None, "w")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, _text string, score int")
+    kept = sorted(map(tuple, language.keep_identified(docs).collect()), key=str)
+    assert kept == sorted([(*r, 1) for r in rows if r[1]], key=str)
+    got = {(r["doc_id"], r["score"] > 0): r["lang_pred"] for r in language.identify(docs).collect()}
+    assert got[None, True] == "aa" and got[None, False] == "und" and got[99, True] == "bb"
 
 
 def test_language_of_empty_table(spark):
