@@ -14,14 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, markup
-from ..schemas import ERRORS, FINDINGS, MAX_INPUT_BYTES, SEGMENT, Options, Refused
+from ..schemas import ERRORS, FINDINGS, MAX_INPUT_BYTES, PRIVATE_XATTRS, SEGMENT, Options, Refused
 from . import containers, office, pdf, queue
 
-# Extended attributes that are private.
-PRIVATE_XATTRS = (
-    "com.apple.quarantine", "com.apple.provenance", "com.apple.lastuseddate#PS", "com.apple.metadata:kMDItemDownloadedDate",
-    "com.apple.metadata:kMDItemFinderComment", "com.apple.metadata:kMDItemWhereFroms",
-)
 UNSUPPORTED_DETAIL = "未知格式"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import natural_key
@@ -61,14 +61,22 @@ def grand_total(reports: DataFrame) -> DataFrame:
     return reports.select(F.coalesce(F.sum(residual(F.col("findings"))), F.lit(0).cast("long")).alias("total"))
 
 
-def batch_summary(results: DataFrame) -> DataFrame:
-    """``succeeded, failed, first_output`` of ``success, output_path, pos``."""
-    return results.agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.min_by("output_path", F.when(F.col("output_path").isNotNull(), F.col("pos"))).alias("first_output"))
+def batch_summary(results: DataFrame, *by: str) -> DataFrame:
+    """``succeeded, failed, first_output`` of ``success, output_path, pos``, in all or by the given columns."""
+    first = F.min_by("output_path", F.when(F.col("output_path").isNotNull(), F.col("pos")))
+    return results.groupBy(*by).agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), first.alias("first_output"))
 
 
-def all_done(queue: DataFrame) -> DataFrame:
+def capped_issues(issues: DataFrame, most: int = 100) -> DataFrame:
+    """One row: how many issues of ``path, reason`` there are, and the first ``most`` of them by path and reason."""
+    first = issues.select("path", "reason").orderBy("path", "reason").limit(most)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("path", "reason"))).alias("issues"))
+    return issues.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(listed))
+
+
+def all_done(queue: DataFrame, *by: str) -> DataFrame:
     done = F.col("status").isin("scanned", "clean", "error")
-    return queue.agg((F.coalesce(F.bool_and(done), F.lit(False)) & (F.count(F.lit(1)) > 0)).alias("all_done"))
+    return queue.groupBy(*by).agg((F.coalesce(F.bool_and(done), F.lit(False)) & (F.count(F.lit(1)) > 0)).alias("all_done"))
 
 
 SORT_KEYS = ("name", "type", "source_size", "output_size", "findings")
@@ -85,10 +93,20 @@ def history(entries: DataFrame, newest: int = 100) -> DataFrame:
     return entries.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(newest)
 
 
-def history_ratio(entries: DataFrame) -> DataFrame:
-    """``id, succeeded, total`` of ``id, results`` (array with success)."""
-    ok = F.size(F.filter("results", lambda r: r["success"])).cast("long")
-    return entries.select("id", ok.alias("succeeded"), F.size("results").cast("long").alias("total"))
+def history_ratio(results: DataFrame) -> DataFrame:
+    """``id, succeeded, total`` of a row a result: ``id, success``; long histories are counted in parts."""
+    return results.groupBy("id").agg(F.count_if("success").alias("succeeded"), F.count(F.lit(1)).alias("total"))
+
+
+def ranked(rows: DataFrame, key: Column) -> DataFrame:
+    """Rows with their ``place`` from 1 in the order of a key: a sort by range, and the ranges' counts before each."""
+    ordered = rows.withColumn("_key", key).orderBy("_key").withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(F.broadcast(offsets), part == F.col("_part")).withColumn("place", F.col("_before") + own + 1).drop("_key", "_id", "_part", "_n", "_before")
 
 
 def manifest_difference(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -102,4 +120,4 @@ def manifest_difference(left: DataFrame, right: DataFrame, column: str) -> DataF
 
 def labels(findings: DataFrame, names: DataFrame) -> DataFrame:
     """Labels by category from ``names (category, shown)``, a table of one row a category; else the finding's own."""
-    return findings.join(F.broadcast(names), "category", "left").withColumn("label", F.coalesce("shown", "label")).drop("shown")
+    return findings.join(names, "category", "left").withColumn("label", F.coalesce("shown", "label")).drop("shown")

@@ -40,18 +40,25 @@ _PLANTED = f"WITH {o.planted(fx.TRACES)}, {o.judged('ftext', 'j')}"
 
 
 def _character_findings(rows: DataFrame) -> Column:
-    return F.array_compact(F.array(markup.finding("invisible", chars.invisible_count(F.col("text"))), markup.finding("space", chars.space_count(F.col("text"))))).cast(FINDINGS)
+    """Of ``hidden`` and ``spaces``, the counts that :func:`_counted` made once."""
+    return F.array_compact(F.array(markup.finding("invisible", F.col("hidden")), markup.finding("space", F.col("spaces")))).cast(FINDINGS)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    # exploded from an array of one, or each use of a count would look through the text again
+    both = F.array(F.struct(chars.invisible_count(F.col("text")).alias("hidden"), chars.space_count(F.col("text")).alias("spaces")))
+    return rows.select("*", F.inline(both))
 
 
 @register("text_scan_findings", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT * FROM text_found")
 def text_scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.texts(spark, sf_dir)
+    rows = _counted(fx.texts(spark, sf_dir))
     return _exploded(rows, "doc_id", _character_findings(rows))
 
 
 @register("text_scan_totals_by_lang", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT lang, category, CAST(sum(count) AS BIGINT) AS total, count(*) AS files FROM text_found JOIN documents USING (doc_id) GROUP BY lang, category")
 def text_scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.texts(spark, sf_dir)
+    rows = _counted(fx.texts(spark, sf_dir))
     return _exploded(rows, "doc_id", _character_findings(rows), "lang").groupBy("lang", "category").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("files"))
 
 
@@ -70,7 +77,7 @@ def text_clean_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_verify_residual", f"WITH {o.planted(fx.STUBBORN)}, {o.judged('ftext', 'j')}, {o.cleaned('j', 'k')}, {o.judged('k', 'l')} SELECT doc_id, count(*) AS residual FROM l WHERE inv OR sp GROUP BY doc_id")
 def text_verify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in which cleaning lays a trace bare: these fail verification."""
-    rows = fx.texts(spark, sf_dir, fx.STUBBORN).select("doc_id", chars.clean_text(F.col("text")).alias("text"))
+    rows = _counted(fx.texts(spark, sf_dir, fx.STUBBORN).select("doc_id", F.explode(F.array(chars.clean_text(F.col("text")))).alias("text")))
     return rows.select("doc_id", queue.residual(_character_findings(rows)).alias("residual")).filter("residual > 0")
 
 
@@ -348,10 +355,19 @@ def cleanable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.cleanable(queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir))).select("id")
 
 
-@register("batch_summary", "SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS succeeded, count(*) FILTER (WHERE turn % 2 <> 0) AS failed FROM conversations GROUP BY conv_id")
+_RESULTS = "res AS (SELECT conv_id, turn AS pos, turn % 2 = 0 AS success, CASE WHEN turn % 2 = 0 AND turn > 0 THEN '/out/' || conv_id || '/' || turn END AS output_path FROM conversations)"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as results: even ones succeed, and all of those but a conversation's first give a file."""
+    ok, turn = F.col("turn") % 2 == 0, F.col("turn")
+    path = F.when(ok & (turn > 0), F.concat(F.lit("/out/"), F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string")))
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", turn.alias("pos"), ok.alias("success"), path.alias("output_path"))
+
+
+@register("batch_summary", f"WITH {_RESULTS} SELECT conv_id, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE NOT success) AS failed, (SELECT o.output_path FROM res o WHERE o.conv_id = r.conv_id AND o.output_path IS NOT NULL ORDER BY o.pos LIMIT 1) AS first_output FROM res r GROUP BY conv_id")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("turn") % 2 == 0
-    return fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+    return queue.batch_summary(_results(spark, sf_dir), "conv_id")
 
 
 @register("all_done", "SELECT true AS all_done")
@@ -359,10 +375,24 @@ def all_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.all_done(queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir)))
 
 
+@register("all_done_by_conversation", "SELECT conv_id, bool_and(role <> 'user' OR turn = 0) AS all_done FROM conversations GROUP BY conv_id")
+def all_done_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later turn of a user still waits; so only conversations without one are done."""
+    status = F.when((F.col("role") == "user") & (F.col("turn") != 0), "pending").otherwise("clean")
+    return queue.all_done(fx.table(spark, sf_dir, "conversations").select("conv_id", status.alias("status")), "conv_id")
+
+
+@register("capped_issues", "SELECT count(*) AS total, (SELECT string_agg(path, ' ' ORDER BY path) FROM (SELECT '/in/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path FROM documents WHERE n_chars > 2000 ORDER BY path LIMIT 100)) AS issues FROM documents WHERE n_chars > 2000")
+def capped_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over a size as refused files: all are counted, the first 100 are listed."""
+    path = F.concat(F.lit("/in/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    issues = fx.table(spark, sf_dir, "documents").filter("n_chars > 2000").select(path.alias("path"), F.lit("too large").alias("reason"))
+    return queue.capped_issues(issues).select("total", F.array_join(F.col("issues.path"), " ").alias("issues"))
+
+
 @register("history_success", "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (WHERE role <> 'user') AS succeeded, count(*) AS total FROM conversations GROUP BY conv_id")
 def history_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = fx.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id"))
-    return queue.history_ratio(turns.agg(F.collect_list(F.struct((F.col("role") != "user").alias("success"))).alias("results")))
+    return queue.history_ratio(fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), (F.col("role") != "user").alias("success")))
 
 
 @register("history_cap", "SELECT event_id AS id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -377,10 +407,16 @@ def queue_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("natural_name_sort", f"WITH {_QUEUE}, n AS (SELECT DISTINCT name FROM q) SELECT name, row_number() OVER (ORDER BY CAST(substr(name, 5) AS INT)) AS place FROM n")
 def natural_name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return queue.ranked(_queue(spark, sf_dir).select("name").distinct(), scalars.natural_key(F.col("name")))
+
 
-    names = _queue(spark, sf_dir).select("name").distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(scalars.natural_key(F.col("name")))).cast("long").alias("place"))
+@register("version_order", "SELECT v AS version, row_number() OVER (ORDER BY a, b, c, pre IS NULL, pre) AS place FROM (SELECT DISTINCT doc_id % 3 AS a, doc_id % 11 AS b, doc_id % 13 AS c, CASE WHEN doc_id % 4 = 0 THEN doc_id % 12 END AS pre, 'v' || doc_id % 3 || '.' || doc_id % 11 || '.' || doc_id % 13 || CASE WHEN doc_id % 4 = 0 THEN '-' || doc_id % 12 ELSE '' END AS v FROM documents)")
+def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions made of doc_ids, some with a pre-release number, in their order."""
+    key = F.col("doc_id")
+    version = F.concat(F.lit("v"), F.concat_ws(".", *[(key % n).cast("string") for n in (3, 11, 13)]), F.when(key % 4 == 0, F.concat(F.lit("-"), (key % 12).cast("string"))).otherwise(""))
+    rows = fx.table(spark, sf_dir, "documents").select(version.alias("version")).distinct()
+    return queue.ranked(rows, scalars.version_key(F.col("version")))
 
 
 @register("manifest_diff", "WITH a AS (SELECT source AS v FROM documents), b AS (SELECT DISTINCT 'src' || user_id AS v FROM events) SELECT v AS value, 'duplicate' AS problem FROM a GROUP BY v HAVING count(*) > 1 "
@@ -397,7 +433,7 @@ def sha256_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("label_lookup", f"{_PLANTED}, {o.TEXT_FINDINGS} SELECT doc_id, category, CASE category WHEN 'unicode' THEN 'Hidden characters' ELSE '' END AS label FROM text_found")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.texts(spark, sf_dir)
+    rows = _counted(fx.texts(spark, sf_dir))
     names = spark.createDataFrame([("unicode", "Hidden characters")], "category string, shown string")
     found = _exploded(rows, "doc_id", _character_findings(rows)).withColumn("label", F.lit(""))
     return queue.labels(found, names).select("doc_id", "category", "label")

@@ -65,3 +65,9 @@ class Options:
     preserve_orientation: bool = True
     preserve_color_profile: bool = True
     remove_extended_attributes: bool = False
+
+# Extended attributes that are private.
+PRIVATE_XATTRS = (
+    "com.apple.quarantine", "com.apple.provenance", "com.apple.lastuseddate#PS", "com.apple.metadata:kMDItemDownloadedDate",
+    "com.apple.metadata:kMDItemFinderComment", "com.apple.metadata:kMDItemWhereFroms",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import ERRORS, Options, Refused
+from ..schemas import ERRORS, PRIVATE_XATTRS, Options, Refused
 
 RESULT = "path string, output_path string, backup_path string, source_size bigint, output_size bigint, success boolean, error_code string, error string"
 MAX_SUFFIX = 9_999
@@ -33,8 +34,17 @@ def unique_path(preferred: Path) -> Path:
     return next((p for p in others if not p.exists()), preferred)
 
 
-def write_atomically(path: Path, data: bytes, source: os.stat_result | None, keep_times: bool) -> None:
-    """Write beside the target, then put it in its place; a link is refused."""
+def copy_xattrs(source: Path, target: str, private: bool) -> None:
+    """Give a file the source's extended attributes, where both file systems have such; the private ones only if told to."""
+    with contextlib.suppress(OSError, AttributeError):
+        for name in os.listxattr(source):
+            if private or name.removeprefix("user.") not in PRIVATE_XATTRS:
+                with contextlib.suppress(OSError):
+                    os.setxattr(target, name, os.getxattr(source, name))
+
+
+def write_atomically(path: Path, data: bytes, source: os.stat_result | None, keep_times: bool, like: Path | None = None, keep_private: bool = True) -> None:
+    """Write beside the target, then put it in its place; a link is refused. ``like`` gives extended attributes."""
     if path.is_symlink():
         raise Refused("Symlink", str(path))
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -44,6 +54,8 @@ def write_atomically(path: Path, data: bytes, source: os.stat_result | None, kee
             f.write(data)
             f.flush()
             os.fsync(f.fileno())
+        if like is not None:
+            copy_xattrs(like, name, keep_private)
         if source and keep_times:
             os.utime(name, ns=(source.st_atime_ns, source.st_mtime_ns))
         os.replace(name, path)
@@ -62,7 +74,7 @@ def deliver(path: str, cleaned: bytes, options: Options) -> tuple:
         if options.mode == "replace":
             backup = unique_path(backup_path(source))
             try:
-                write_atomically(backup, source.read_bytes(), was, True)
+                write_atomically(backup, source.read_bytes(), was, True, source)
             except (OSError, Refused) as error:
                 return path, None, None, None, None, False, "Io", f"创建备份失败：{error}"
             target = source
@@ -71,7 +83,7 @@ def deliver(path: str, cleaned: bytes, options: Options) -> tuple:
     except OSError as error:
         return path, None, None, None, None, False, "Io", f"{ERRORS['Io']}{error}"
     try:
-        write_atomically(target, cleaned, was, options.preserve_timestamps)
+        write_atomically(target, cleaned, was, options.preserve_timestamps, source, not options.remove_extended_attributes)
     except (OSError, Refused) as error:
         code, text = (error.code, error.text) if isinstance(error, Refused) else ("Io", f"{ERRORS['Io']}{error}")
         return path, None, str(backup) if backup else None, was.st_size, None, False, code, text

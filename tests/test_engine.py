@@ -1,11 +1,12 @@
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from spoorless.functions import formats
 from spoorless.operators import engine, queue
-from spoorless.schemas import Options
+from spoorless.schemas import PRIVATE_XATTRS, Options
 from spoorless.sinks import files as sink
 from spoorless.sources import intake
 
@@ -87,3 +88,18 @@ def test_queue_sort(spark):
     assert names("name") == ["alpha", "beta", "zeta"] and names("type") == ["zeta", "alpha", "beta"] and names("type", True) == ["beta", "zeta", "alpha"]
     assert names("output_size") == names("output_size", True) == ["alpha", "zeta", "beta"]
     assert queue.all_done(q.limit(0).withColumn("status", F.lit("clean"))).first()[0] is False
+
+
+def test_extended_attributes_follow_the_option(tmp_path):
+    source = tmp_path / "note.txt"
+    source.write_bytes(b"a")
+    try:
+        os.setxattr(source, "user.kept", b"1")
+    except OSError:
+        pytest.skip("this file system has no extended attributes")
+    private = f"user.{PRIVATE_XATTRS[0]}"
+    os.setxattr(source, private, b"2")
+    for remove in (False, True):
+        target = tmp_path / f"out{remove}.txt"
+        sink.write_atomically(target, b"b", os.lstat(source), True, source, not remove)
+        assert set(os.listxattr(target)) == ({"user.kept"} if remove else {"user.kept", private})
