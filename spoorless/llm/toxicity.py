@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, load
 
-#: Labelled rows that the models are fitted on, about; patterns among them that become features; and voters.
+#: The bounded sample and models: labelled rows, about; patterns among them that become features; and voters
+#: among those.
 FIT_ROWS, PATTERNS, VOTERS = 6_000, 1_500, 400
 #: A pattern is a word, or a beginning of words of one of these lengths.
 BEGINNINGS = (4, 5, 6, 7)
 #: A pattern must stand in so many toxic rows of the sample.
 SUPPORT = 3
 THRESHOLD = 0.3
+#: Share of given labels taken to be right before the votes are seen.
+TRUST = 0.95
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,35 +44,43 @@ class LabelModel:
     prior: float
     accuracy: np.ndarray  # share of toxic rows among those for which it votes
     weights: np.ndarray
-    trust: float  # how often the given label is right
+    trust: float  # how often the given label, a voter too, is right
 
-    def posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Probability of a toxic row by Bayes' rule, from its votes and its given label (0 or 1)."""
         logit = lambda x: np.log(x / (1 - x))
         odds = logit(self.prior) + votes @ (self.weights * (logit(self.accuracy) - logit(self.prior)))
-        odds = odds + (2 * labels - 1) * logit(self.trust)
+        odds = odds + (2 * given - 1) * logit(self.trust)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> LabelModel:
-    """Expectation maximisation over the votes for a row (1: votes, 0: abstains) and its noisy label.
+def shared_votes(votes: np.ndarray, p: np.ndarray, least: float = 0.1) -> np.ndarray:
+    """Correlations of voters within the classes, the positive ones from ``least`` on; 1 with itself."""
+    toxic, clean = votes.T @ p / max(p.sum(), 1e-9), votes.T @ (1 - p) / max((1 - p).sum(), 1e-9)
+    rest = votes - np.outer(1 - p, clean) - np.outer(p, toxic)
+    spread = rest.std(0) + 1e-6
+    related = np.clip((rest.T @ rest) / len(votes) / np.outer(spread, spread), 0, 1)
+    related[related < least] = 0
+    np.fill_diagonal(related, 1.0)
+    return related
+
+
+def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 10) -> LabelModel:
+    """Expectation maximisation over the votes for a row (1: votes, 0: abstains) and its noisy given label.
 
     Abstaining says nothing, as voters for one language are silent in another. A voter's weight is one
     over the sum of its positive correlations with all voters (1 with itself) within the classes, so a
-    group of voters that always agree counts about as one.
+    group of voters that always agree counts about as one. The given label votes on every row; its
+    accuracy is estimated too, under a Beta prior of mean TRUST that weighs as much as the rows do: without
+    one the voters, which few texts hold together, drift from what "toxic" means.
     """
-    p, cast = np.clip(labels.astype(float), 0.05, 0.95), votes.sum(0)
+    p, cast = np.clip(given.astype(float), 0.05, 0.95), votes.sum(0)
     for _ in range(rounds):
         prior = float(np.clip(p.mean(), 0.005, 0.5))
         accuracy = np.clip((votes.T @ p + 2 * prior) / (cast + 2), 0.01, 0.99)
-        trust = float(np.clip(1 - np.abs(p - labels).mean(), 0.9, 0.99))
-        toxic, clean = votes.T @ p / p.sum(), votes.T @ (1 - p) / (1 - p).sum()
-        rest = votes - np.outer(1 - p, clean) - np.outer(p, toxic)
-        spread = rest.std(0) + 1e-6
-        related = np.clip((rest.T @ rest) / len(votes) / np.outer(spread, spread), 0, 1)
-        related[related < 0.1] = 0
-        np.fill_diagonal(related, 1.0)
-        model = LabelModel(prior, accuracy, 1 / related.sum(1), trust)
-        p = model.posterior(votes, labels)
+        trust = float((1 - np.abs(p - given).mean() + TRUST) / 2)
+        model = LabelModel(prior, accuracy, 1 / shared_votes(votes, p).sum(1), trust)
+        p = model.posterior(votes, given)
     return model
 
 
@@ -137,8 +148,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, patterns: int = PATTERNS, vot
         return None
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(sum(sizes.values())))
     z = (F.col("toxic") / sizes[1] - F.col("clean") / sizes[0]) / F.sqrt(share * (1.0001 - share) * (1 / sizes[1] + 1 / sizes[0]))
-    best = _statistics(sample).filter(F.col("toxic") >= SUPPORT).withColumn("z", z).filter("z > 2").orderBy(F.col("z").desc(), "pattern").limit(patterns).collect()
-    known = {r["pattern"]: i for i, r in enumerate(best)}
+    best = [r["pattern"] for r in _statistics(sample).filter(F.col("toxic") >= SUPPORT).withColumn("z", z).filter("z > 2").orderBy(F.col("z").desc(), "pattern").limit(patterns).collect()]
+    known = {x: i for i, x in enumerate(best)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +170,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, patterns: int = PATTERNS, vot
         counts[k, r["places"]] = r["times"]
     labels = np.array([r["toxic"] for r in counted], float)
     # the voters: each pattern standing in a text at all, each standing there again, and none of them standing there
-    ballots = np.concatenate([counts[:, :voters] >= 1, counts[:, :voters] >= 2, ~(counts[:, :voters] >= 1).any(1, keepdims=True)], 1).astype(np.float32)
+    there = counts[:, :voters] >= 1
+    ballots = np.concatenate([there, counts[:, :voters] >= 2, ~there.any(1, keepdims=True)], 1).astype(np.float32)
     ballots = ballots[:, ballots.any(0)]
     target = fit_label_model(ballots, labels).posterior(ballots, labels)
     weights, bias = fit_linear(np.concatenate([(counts > 0).astype(np.float32), np.log1p(counts)], 1), target)
@@ -175,7 +187,8 @@ def detect(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, patterns: i
     """Toxicity of every whole text of ``doc_id, text``, from ``doc_id, toxic`` labels that are not held out.
 
     Returns ``doc_id, held_out, score, predicted``. Null and empty texts get the score of a text without
-    any pattern; without labels of both classes every score is 0.0. Null labels count for nothing; of
+    any pattern; without labels of both classes every score is 0.0. A text of any length is scored whole, and
+    a row without an id as any other, but learned from by none. Null labels count for nothing; of
     repeated labels of a document the highest counts. Equal texts get equal scores. Other columns are not
     read; an empty table gives no rows.
     """

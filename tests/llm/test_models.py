@@ -120,3 +120,34 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r["score"], r["predicted"]) for r in toxicity.detect(docs, none).collect()] == [(0.0, 0)]
     assert toxicity.detect(docs.limit(0), none).count() == 0
+
+
+def test_label_model_against_enumeration():
+    gen = np.random.default_rng(3)
+    # every combination of four voters, as often as it is to be expected: three toxic ones and a calm one, apart given the class
+    prior, fires = 0.3, np.array([[0.5, 0.02], [0.4, 0.03], [0.3, 0.01], [0.1, 0.6]])
+    combos = np.array(np.meshgrid(*[[0, 1]] * 4)).reshape(4, -1).T
+    like = lambda v, y: np.prod([f[1 - y] if x else 1 - f[1 - y] for x, f in zip(v, fires)])
+    times = [(round(40_000 * prior * like(v, 1)), round(40_000 * (1 - prior) * like(v, 0))) for v in combos]
+    votes = np.concatenate([np.repeat(v[None, :], n, 0) for v, pair in zip(combos, times) for n in pair]).astype(np.float32)
+    truth = np.concatenate([np.full(n, 1 - k) for pair in times for k, n in enumerate(pair)])
+    given = np.where(gen.random(len(truth)) < 0.1, 1 - truth, truth)  # a tenth of the given labels is wrong
+    model = toxicity.fit_label_model(votes, given)
+    assert (model.accuracy[:3] > 0.8).all() and model.accuracy[3] < model.prior and (model.weights > 0.5).all() and 0.85 < model.trust < 0.97
+    for row in np.unique(np.concatenate([votes, given[:, None]], 1), axis=0):  # Bayes' rule over both classes
+        weigh = [model.prior * (model.trust if row[4] else 1 - model.trust), (1 - model.prior) * (1 - model.trust if row[4] else model.trust)]
+        for x, a, w in zip(row, model.accuracy, model.weights):
+            if x:
+                weigh = [weigh[0] * (a / model.prior) ** w, weigh[1] * ((1 - a) / (1 - model.prior)) ** w]
+        assert abs(model.posterior(row[None, :4], row[4])[0] - weigh[0] / sum(weigh)) < 1e-5
+    judged = model.posterior(votes, given) > 0.5
+    assert (judged == (truth == 1)).mean() > (given == truth).mean() and (judged != (given == 1)).any()  # it mends given labels
+    doubled = toxicity.fit_label_model(np.concatenate([votes, votes[:, :1], votes[:, :1]], 1), given)
+    assert doubled.weights[0] < 0.6 * model.weights[0]  # three voters that always agree
+
+
+def test_toxicity_of_null_ids_and_long_texts(spark):
+    rows = [(i, prose("aa", 20) + (" vilecur rotgut" if i % 4 == 0 else "")) for i in range(120)] + [(None, "vilecur rotgut"), (None, None), (500, "vilecur rotgut " + prose("aa", 100_000))]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)]
+    got = toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 2 and all(0 <= r["score"] <= 1 for r in got)
