@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
-import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of letters, by Unicode's letter categories: \\w without digits, the underscore and what else is numeric.
-LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of Unicode's letter categories. The pattern also takes other numerals, such as a half, for letters."""
+    words = _WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for word in words for run in "".join(c if c.isalpha() else " " for c in word).split(" ") if run]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

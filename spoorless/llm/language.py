@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, load
+from .common import letter_runs, load
 
 #: The bounded sample that the model is fitted on: the most frequent languages, and labelled documents of each, about.
-LANGUAGES, FIT_DOCUMENTS = 200, 600
+LANGUAGES, FIT_DOCUMENTS = 200, 1_000
 #: Longest n-gram of a word between its edge marks.
 LONGEST = 5
 #: A document's evidence is that of so many of its average words at most, so that scores stay graded.
@@ -63,16 +64,18 @@ class Backoff:
         """Of a known word its own; else the mean over its longest n-grams of which any are known."""
         if (at := self.words.rows.get(word)) is not None:
             return self.words.logs[at]
+        marked = f"^{word}$"
         for size in range(LONGEST, 0, -1):
             table = self.grams[size]
-            found = [table.rows[g] for g in grams_of(word, size) if g in table.rows]
+            get = table.rows.get
+            found = [at for i in range(len(marked) - size + 1) if (at := get(marked[i : i + size])) is not None]
             if found:
                 return table.logs[found].sum(0) / len(found)
         return None
 
 
 class Judge:
-    """Language and score of texts; remembers the evidence of the words met."""
+    """Language and score of texts; known words are looked up, the evidence of unseen ones is remembered."""
 
     def __init__(self, model: Backoff, remembered: int = REMEMBERED):
         self.model, self.most = model, remembered
@@ -84,9 +87,11 @@ class Judge:
         self.used = 1
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > self.most:
+        new = words.difference(self.at)
+        if len(self.at) + len(new) > self.most:
             self._forget()
-        for word in words.difference(self.at):
+            new = words
+        for word in new:
             row = self.model.evidence(word)
             if row is None:
                 self.at[word] = 0
@@ -98,17 +103,24 @@ class Judge:
             self.used += 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
-        languages = self.model.languages
+        words = letter_runs((text or "").lower())
+        languages, known = self.model.languages, self.model.words
         if not words or not languages:
             return UNDETERMINED, 0.0
         total, weight = np.zeros(len(languages)), 0
         for begin in range(0, len(words), 65_536):  # a very long text in parts
             part = words[begin : begin + 65_536]
-            self._learn(set(part))
-            rows = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
-            total += self.table[rows].sum(0, dtype=np.float64)
-            weight += int(np.count_nonzero(rows))
+            places = list(map(known.rows.get, part, repeat(-1)))
+            unseen = [word for word, place in zip(part, places, strict=True) if place < 0]
+            at = np.array(places, np.int64)
+            at = at[at >= 0]
+            total += known.logs[at].sum(0, dtype=np.float64)
+            weight += len(at)
+            if unseen:
+                self._learn(set(unseen))
+                rows = np.fromiter(map(self.at.__getitem__, unseen), np.int64, len(unseen))
+                total += self.table[rows].sum(0, dtype=np.float64)
+                weight += int(np.count_nonzero(rows))
         if weight:
             total *= min(1.0, WORDS_COUNTED / weight)
         p = np.exp(total - total.max())
