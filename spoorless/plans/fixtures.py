@@ -5,6 +5,8 @@ The tables hold no private traces of their own, so each registered query plants
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ def pages(spark: SparkSession, sf_dir: str, hidden: bool = False) -> DataFrame:
 
 
 def svgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.substring("text", 1, 200)
+    text = F.col("text")
     meta = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<METADATA id="1">'), text, F.lit("</metadata >"))).otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<svg>"), meta, F.lit("<text>"), text, F.lit("</text></svg>")).alias("text"))
 
@@ -57,7 +59,7 @@ def markdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(key % 5 == 4, F.col("text")).otherwise(F.concat(front, F.col("text"))).alias("text"))
 
 
-# --- binary files: parts with a payload of the text's first doc_id % 23 characters -------------------------------
+# --- binary files: parts with the whole text as payload --------------------------------------------------------------
 
 #: Format: (extension, bytes around parts, parts). A part: (kind, category or None, label's place in the
 #: domain, in each row whose key this divides, bytes besides the payload, payload times).
@@ -67,7 +69,7 @@ CONTAINERS: dict[str, tuple[str, list[tuple[str, str | None, int, int, int]]]] =
     "wav": ("wav", [("fmt ", None, 1, 24, 0), ("LIST", "wav", 2, 12, 1), ("bext", "wav", 3, 8, 1), ("data", None, 1, 8, 1)]),
     "flac": ("flac", [("0", None, 1, 38, 0), ("4", "flac", 2, 4, 1), ("6", "flac", 3, 4, 1), ("2", None, 5, 4, 1), ("1", None, 1, 4, 1)]),
     "jpeg": ("jpg", [("E0", None, 1, 4, 1), ("exif", "jpeg_exif", 2, 10, 1), ("xmp", "jpeg_xmp", 3, 8, 1), ("EB", "jpeg_origin", 5, 4, 1), ("FE", "jpeg_note", 7, 4, 1), ("icc", "profile", 11, 16, 1)]),
-    "gif": ("gif", [("FE", "gif", 2, 4, 1), ("FF", "gif", 3, 15, 0), ("image", None, 1, 14, 0)]),
+    "gif": ("gif", [("FE", "gif", 2, 3, 1), ("FF", "gif", 3, 15, 0), ("image", None, 1, 14, 0)]),
     "mp3": ("mp3", [("ID3v2", "mp3", 2, 10, 1), ("audio", None, 1, 4, 1), ("APEv2", "mp3", 3, 32, 0), ("ID3v1", "mp3", 5, 128, 0)]),
     "iso": ("mp4", [("ftyp", None, 1, 16, 0), ("moov", "iso", 2, 8, 1), ("uuid", "iso", 3, 24, 1), ("mdat", None, 1, 8, 1)]),
 }
@@ -75,6 +77,8 @@ CONTAINERS: dict[str, tuple[str, list[tuple[str, str | None, int, int, int]]]] =
 AROUND = {"png": (8, 0, 0), "webp": (12, 0, 0), "wav": (12, 0, 0), "flac": (4, 2, 1), "jpeg": (2, 4, 1), "gif": (13, 1, 0), "mp3": (0, 0, 0), "iso": (0, 0, 0)}
 #: Chunks of these are padded to an even size; in the others the payload's size counts as it is.
 PADDED = ("webp", "wav")
+#: Payload bytes of a JPEG segment and of a GIF block; longer payloads take several.
+JPEG_PAYLOAD, GIF_BLOCK = 65_000, 255
 
 
 def _raw(data: bytes) -> Column:
@@ -90,6 +94,14 @@ def _little(size: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
 
 
+def _cut_up(p: Column, most: int, head: Callable[[Column], Column], least: int) -> Column:
+    """The payload in pieces of up to ``most`` bytes, ``least`` pieces at least, a head before each."""
+    count = F.greatest(F.ceil(F.length(p) / most).cast("int"), F.lit(least))
+    at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    piece = lambda i: F.substring(p, i * most + 1, F.lit(most))
+    return F.unhex(F.array_join(F.transform(at, lambda i: F.hex(F.concat(head(piece(i)), piece(i)))), ""))
+
+
 def _part(name: str, kind: str, p: Column) -> Column:
     n = F.length(p)
     if name == "png":
@@ -104,12 +116,13 @@ def _part(name: str, kind: str, p: Column) -> Column:
         return F.concat(_raw(bytes([int(kind) | (0x80 if kind == "1" else 0)])), _big(F.length(body), 6), body)
     if name == "jpeg":
         marker, before = {"exif": (0xE1, b"Exif\0\0"), "xmp": (0xE1, b"http"), "icc": (0xE2, b"ICC_PROFILE\0")}.get(kind) or (int(kind, 16), b"")
-        return F.concat(_raw(bytes([0xFF, marker])), _big(n + 2 + len(before), 4), _raw(before), p)
+        head = lambda x: F.concat(_raw(bytes([0xFF, marker])), _big(F.length(x) + 2 + len(before), 4), _raw(before))
+        return _cut_up(p, JPEG_PAYLOAD, head, 1)
     if name == "gif":
-        return {"FE": F.concat(_raw(b"\x21\xfe"), _big(n, 2), p, _raw(b"\0")), "FF": _raw(b"\x21\xff\x0bXMP DataXMP\0"), "image": _raw(b"\x2c" + bytes(9) + b"\x02\x01\0\0")}[kind]
+        return {"FE": F.concat(_raw(b"\x21\xfe"), _cut_up(p, GIF_BLOCK, lambda x: _big(F.length(x), 2), 0), _raw(b"\0")), "FF": _raw(b"\x21\xff\x0bXMP DataXMP\0"), "image": _raw(b"\x2c" + bytes(9) + b"\x02\x01\0\0")}[kind]
     if name == "mp3":
         return {
-            "ID3v2": F.concat(_raw(b"ID3\x03\0\0\0\0\0"), _big(n, 2), p), "audio": F.concat(_raw(b"\xff\xfb\x90\0"), p),
+            "ID3v2": F.concat(_raw(b"ID3\x03\0\0"), *[_big(F.shiftright(n, 7 * k).bitwiseAND(127), 2) for k in (3, 2, 1, 0)], p), "audio": F.concat(_raw(b"\xff\xfb\x90\0"), p),
             "APEv2": _raw(b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)), "ID3v1": _raw(b"TAG" + bytes(125)),
         }[kind]
     if kind == "ftyp":
@@ -126,7 +139,7 @@ def containers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ext, parts = CONTAINERS[name]
     key, p, body = F.col("doc_id"), F.col("payload"), F.col("body")
     # a column at a time: what is used more than once is put together once
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", F.lit(1), (key % 23).cast("int")), "UTF-8").alias("payload"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({f"part{k}": F.when(key % every == 0, _part(name, kind, p)).otherwise(_raw(b"")) for k, (kind, _, every, _, _) in enumerate(parts)})
     pieces = [F.col(f"part{k}") for k in range(len(parts))]
     if name == "iso":  # the second part stands inside the movie atom
@@ -147,7 +160,7 @@ def _office(key: int, text: str) -> bytes:
     import io
     import zipfile
 
-    out, body = io.BytesIO(), "".join(c for c in text[:50] if c.isalnum())
+    out, body = io.BytesIO(), "".join(c for c in text if c.isalnum())
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("docProps/core.xml", f"<dc:creator>{body}</dc:creator><dc:title/>" if key % 2 == 0 else "<dc:title/>")
         if key % 3 == 0:
@@ -157,7 +170,7 @@ def _office(key: int, text: str) -> bytes:
 
 
 def _pdf(key: int, text: str) -> bytes:
-    body = "".join(c for c in text[:50] if c.isascii() and c.isalnum()).encode()
+    body = "".join(c for c in text if c.isascii() and c.isalnum()).encode()
     parts = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[]/Count 0>>", b"<</Author (" + body + b")>>"]
     if key % 3 == 0:
         parts.append(b"<</Type/Metadata/Length %d>>\nstream\n" % len(body) + body + b"\nendstream")
@@ -173,6 +186,6 @@ def made(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     def content(keys: pa.Array, texts: pa.Array) -> pa.Array:
         return pa.array([build(k.as_py(), t.as_py() or "") for k, t in zip(keys, texts, strict=True)], pa.binary())
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", content("doc_id", F.substring("text", 1, 60)).alias("content"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", content("doc_id", "text").alias("content"))
     path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(f".{ext}"))
     return rows.select(path.alias("path"), F.length("content").cast("long").alias("length"), "content")

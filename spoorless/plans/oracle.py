@@ -57,7 +57,7 @@ def pages(hidden: bool) -> str:
     return f"fhtml AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {name} ELSE '' END || CASE WHEN page_id % 5 = 0 THEN replace(html, '<body', '<body data-ai-model=''m''') ELSE html END AS html FROM pages)"
 
 
-SVGS = """fsvg AS (SELECT doc_id, '<svg>' || CASE WHEN doc_id % 3 = 0 THEN '<METADATA id="1">' || substr(text, 1, 200) || '</metadata >' ELSE '' END || '<text>' || substr(text, 1, 200) || '</text></svg>' AS text FROM documents)"""
+SVGS = """fsvg AS (SELECT doc_id, '<svg>' || CASE WHEN doc_id % 3 = 0 THEN '<METADATA id="1">' || text || '</metadata >' ELSE '' END || '<text>' || text || '</text></svg>' AS text FROM documents)"""
 FRONT = "'---' || chr(10) || 'title: t' || chr(10) || {a} || {b} || '---' || chr(10)"
 MARKDOWNS = (
     "fmd AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN text ELSE "
@@ -71,16 +71,21 @@ def layout(name: str) -> str:
     """Parts of each container by arithmetic: ``doc_id, k, kind, trace, size``."""
     rows = []
     for k, (kind, trace, every, fixed, times) in enumerate(fx.CONTAINERS[name][1]):
-        size = f"{fixed} + {times} * p"
+        heads, size = "1", f"{fixed} + {times} * p"
+        if name == "jpeg":  # a segment holds 65,000 bytes of payload
+            heads = "greatest(1, (p + 64999) // 65000)"
+            size = f"{fixed} * {heads} + {times} * p"
+        elif name == "gif" and times:  # a byte more before each block of 255
+            size += " + (p + 254) // 255"
         size = f"({size}) + ({size}) % 2" if name in fx.PADDED else size
-        rows.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {repr(trace) if trace else 'NULL'} AS trace, {size} AS size, p FROM sized WHERE doc_id % {every} = 0")
-    return "sized AS (SELECT doc_id, strlen(substr(text, 1, CAST(doc_id % 23 AS INT))) AS p FROM documents),\nparts AS (" + "\nUNION ALL ".join(rows) + ")"
+        rows.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {repr(trace) if trace else 'NULL'} AS trace, {size} AS size, {heads} AS heads, p FROM sized WHERE doc_id % {every} = 0")
+    return "sized AS (SELECT doc_id, strlen(coalesce(text, '')) AS p FROM documents),\nparts AS (" + "\nUNION ALL ".join(rows) + ")"
 
 
 def container_findings(name: str) -> str:
     names = " ".join(f"WHEN '{k}' THEN '{{}}'" for k in DOMAIN)
     category, label, severity = ("CASE trace " + names.format(*[v[i] for v in DOMAIN.values()]) + " END" for i in range(3))
-    return f"WITH {layout(name)} SELECT doc_id, {category} AS category, {label} AS label, {severity} AS severity, count(*) AS count FROM parts WHERE trace IS NOT NULL GROUP BY ALL"
+    return f"WITH {layout(name)} SELECT doc_id, {category} AS category, {label} AS label, {severity} AS severity, CAST(sum(heads) AS BIGINT) AS count FROM parts WHERE trace IS NOT NULL GROUP BY ALL"
 
 
 def container_clean(name: str) -> str:
@@ -88,7 +93,7 @@ def container_clean(name: str) -> str:
     kept = "true" if name == "iso" else "trace IS NULL OR trace = 'profile'"
     extra = 8 if name == "iso" else 0
     return f"""WITH {layout(name)} SELECT doc_id, CAST({before} + {after} + {times} * any_value(p) + {extra} + coalesce(sum(size) FILTER (WHERE {kept}), 0) AS BIGINT) AS output_size,
-  count(*) FILTER (WHERE trace IS NOT NULL AND trace <> 'profile') AS removed, true AS success FROM parts GROUP BY doc_id"""
+  CAST(coalesce(sum(heads) FILTER (WHERE trace IS NOT NULL AND trace <> 'profile'), 0) AS BIGINT) AS removed, true AS success FROM parts GROUP BY doc_id"""
 
 
 PNG_SEGMENTS = f"""WITH {layout('png')} SELECT doc_id, CAST(row_number() OVER w - 1 AS INT) AS idx, kind, CAST(8 + coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
