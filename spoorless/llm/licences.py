@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -120,26 +121,35 @@ class Scanner:
         if not hits:
             return []
         found = []
+        full = [k for k, words in enumerate(lines) if words]
+        place = {k: i for i, k in enumerate(full)}
         for t in self.templates:
-            at = sorted(k for k, ids in hits.items() if id(t) in ids)
+            at = sorted(place[k] for k, ids in hits.items() if id(t) in ids)
             starts = set()
             for k in at:  # a run around an anchor begins no more bigrams before it than a like text may have
                 size, j = 0, k
                 while j >= 0 and size <= t.most:
-                    if lines[j]:
-                        starts.add(j)
-                    size += len(lines[j])
+                    starts.add(j)
+                    size += len(lines[full[j]])
                     j -= 1
             for j in starts:
-                words: list[str] = []
-                for stop in range(j, len(lines)):
-                    words += lines[stop]
-                    if len(words) - 1 > t.most:
+                anchor = at[bisect_left(at, j)]  # a start has an anchor at or after it
+                have: Counter = Counter()
+                shared, total, before = 0, -1, None
+                for stop in range(j, len(full)):
+                    words = lines[full[stop]]
+                    if total + len(words) > t.most:
                         break
-                    if lines[stop] and len(words) - 1 >= t.least and any(j <= k <= stop for k in at):
-                        d = dice(bigrams(words), t.grams)
+                    for word in words:
+                        if before is not None:
+                            shared += have[before, word] < t.grams[before, word]
+                            have[before, word] += 1
+                        before = word
+                    total += len(words)
+                    if total >= t.least and anchor <= stop:
+                        d = 2 * shared / max(1, total + t.grams.total())
                         if d >= self.threshold:
-                            found.append((-d, j - stop, j, stop, t.licence))
+                            found.append((-d, full[j] - full[stop], full[j], full[stop], t.licence))
         out, taken = [], set()
         for d, _, begin, stop, licence in sorted(found):
             if taken.isdisjoint(range(begin, stop + 1)):

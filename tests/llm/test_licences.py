@@ -1,3 +1,5 @@
+import time
+
 from spoorless.llm import licences as lc
 
 
@@ -40,5 +42,12 @@ def test_every_template_is_found():
         assert scanner.scan("some words before\n" + text + "\nand after"), text
 
 
+def test_many_notices_take_time_in_proportion():
+    begin = time.perf_counter()
+    found = lc.Scanner(lc.standard_templates()).scan("Released under the MIT License.\n\n" * 20_000)
+    assert len(found) == 20_000 and {x[2] for x in found} == {"MIT"}
+    assert time.perf_counter() - begin < 30
+
+
 def test_empty_table(spark):
     assert lc.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
