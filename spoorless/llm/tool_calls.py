@@ -10,8 +10,11 @@ from .common import cut, load
 #: Argument types of a tool: name -> (JSON type, whether it must be there).
 Schema = dict[str, tuple[str, bool]]
 
-#: The one tool that the registered query's exchanges call.
-REPLY: dict[str, Schema] = {"reply": {"conv": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)}}
+#: The tools that the registered query's exchanges call.
+TURNS: dict[str, Schema] = {
+    "reply": {"conv": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)},
+    "note": {"conv": ("integer", True), "role": ("string", False), "text": ("string", True), "turn": ("integer", True)},
+}
 
 _TYPES = {"integer": "(BIGINT|DECIMAL\\(\\d+,0\\))", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 
@@ -71,7 +74,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema]) -> Data
     """
     calls = calls.select("conv_id", "call_id", "parent_id", "name", "arguments")
     one = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(F.col("content"))).alias("result"))
-    joined = calls.join(one, "call_id", "left").join(levels(calls), "call_id", "left")
+    joined = calls.join(one.hint("shuffle_hash"), "call_id", "left").join(levels(calls).hint("shuffle_hash"), "call_id", "left")
     wrong = problems(F.col("name"), F.col("arguments"), tools)
     text = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(c))), F.lit("[null]"))
     value = lambda c: F.expr("1") if c is None else F.regexp_extract(text(c), r"(?s)^\[(.*)\]$", 1)
@@ -90,19 +93,25 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns of ``conv_id, turn, role, text`` as calls and results.
 
     A user's turn calls the tool "reply"; the assistant's next turn is its result, and the user's turn
-    before that is the call it depends on. Identifiers are conversation and turn.
+    before that is the call it depends on. Identifiers are conversation and turn. Every other turn (of
+    another role or none, or an assistant's that answers no user's) calls the tool "note", with no result.
     """
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     told = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn"), F.col("conv_id").alias("conv")))
     calls = conversations.filter("role = 'user'").select("conv_id", F.when(known, name(0)).alias("call_id"), F.when(known, name(2)).alias("parent_id"), F.lit("reply").alias("name"), told.alias("arguments"))
-    results = conversations.filter("role = 'assistant'").select(F.when(known, name(1)).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    answers = conversations.filter("role = 'assistant'").select("conv_id", "turn", "role", "text", F.when(known, name(1)).alias("call_id"))
+    asked = calls.select("call_id").distinct().hint("shuffle_hash")
+    others = conversations.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    others = others.union(answers.join(asked, "call_id", "left_anti").select("conv_id", "turn", "role", "text"))
+    noted = F.to_json(F.struct("role", "text", "turn", F.col("conv_id").alias("conv")))
+    notes = others.select("conv_id", F.when(known, F.concat(F.lit("note:"), name(0))).alias("call_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("note").alias("name"), noted.alias("arguments"))
+    return calls.union(notes), answers.select("call_id", F.col("text").alias("content"))
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = exchanges(load(spark, sf_dir, "conversations"))
-    return link(calls, results, REPLY)
+    return link(calls, results, TURNS)
 
 
 ORACLE = """
@@ -119,4 +128,10 @@ SELECT c.conv_id, c.call_id, CAST(l.level AS BIGINT) AS level, r.call_id IS NOT
     || '},"call_id":"' || c.call_id || '","level":' || l.level || ',"name":"reply","result":'
     || CASE WHEN r.call_id IS NULL THEN 'null' ELSE '{"content":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' END || '}' AS json
 FROM calls c JOIN levels l USING (conv_id, turn) LEFT JOIN results r ON r.call_id = c.call_id
+UNION ALL
+SELECT conv_id, 'note:' || conv_id || ':' || turn, 0, false, text IS NOT NULL, CASE WHEN text IS NULL THEN 'missing: text' ELSE '' END,
+  '{"arguments":{"conv":' || conv_id || coalesce(',"role":' || CAST(to_json(role) AS VARCHAR), '') || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || turn
+    || '},"call_id":"note:' || conv_id || ':' || turn || '","level":0,"name":"note","result":null}'
+FROM conversations o
+WHERE role IS NULL OR role NOT IN ('user', 'assistant') OR role = 'assistant' AND NOT EXISTS (SELECT 1 FROM calls u WHERE u.conv_id = o.conv_id AND u.turn = o.turn - 1)
 """

@@ -28,6 +28,16 @@ def test_linking_order_validation_and_canonical_json(spark):
     assert json.loads(by["c", "not integer: x"]["json"])["result"] is None and json.loads(by["h", "arguments are no object"]["json"])["arguments"] == "no json"
 
 
+def test_every_turn_is_told(spark):
+    turns = [(1, 0, "system", "rules"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "assistant", "more"), (1, 4, None, "x"), (None, 5, "assistant", "lost"), (2, 0, "tool", None)]
+    calls, results = tc.exchanges(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = {r["call_id"]: r for r in tc.link(calls, results, tc.TURNS).collect()}
+    assert set(rows) == {"1:1", "note:1:0", "note:1:3", "note:1:4", None, "note:2:0"}
+    assert json.loads(rows["1:1"]["json"])["result"] == {"content": "hello"}
+    assert json.loads(rows["note:1:0"]["json"])["arguments"] == {"conv": 1, "role": "system", "text": "rules", "turn": 0}
+    assert rows["note:1:4"]["valid"] and rows["note:2:0"]["problems"] == "missing: text" and rows[None]["problems"] == "missing: conv"
+
+
 def test_long_chain_and_empty_tables(spark):
     schema = "conv_id long, call_id string, parent_id string, name string, arguments string"
     chain = spark.createDataFrame([(1, f"{i}", f"{i - 1}", "ping", "{}") for i in range(60)], schema)
