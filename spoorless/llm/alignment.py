@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -21,7 +22,7 @@ PIECE = 128
 REMEMBERED, LONGEST = 600_000, 64
 
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n])")
-_SEPARATORS = np.frombuffer(b",|;", np.uint8)
+_SEPARATORS = np.frombuffer(b",|;", np.uint8).astype(np.uint64)
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -169,6 +170,13 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return of_a, of_b, a[of_a] == b[of_b]
 
 
+@functools.cache
+def decimals(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of 0 to ``count - 1``, first one lowest, in eight bytes; and how many each has."""
+    shown = np.array([str(k) for k in range(count)], "S8")
+    return shown.view("<u8"), np.char.str_len(shown).astype(np.int64)
+
+
 def group_strings(a_ids: np.ndarray, b_ids: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of each text, from the marks of the last tokens of groups."""
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -179,15 +187,11 @@ def group_strings(a_ids: np.ndarray, b_ids: np.ndarray, last_a: np.ndarray, last
     ids, marks = np.zeros(len(a_ids) + len(b_ids), np.int64), np.zeros(len(a_ids) + len(b_ids), np.int64)
     ids[place_a], ids[place_b] = a_ids, b_ids
     marks[place_a], marks[place_b] = last_a * 1, last_b * 2
-    digits = np.maximum(1, np.floor(np.log10(np.maximum(ids, 1)) + 1e-9).astype(np.int64) + 1)
-    ends = np.cumsum(digits + 1)
-    text = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    text[ends - 1] = _SEPARATORS[marks]
-    rest = ids.copy()
-    for k in range(int(digits.max()) if len(digits) else 0):
-        there = digits > k
-        text[(ends - 2 - k)[there]] = 48 + rest[there] % 10
-        rest //= 10
+    names, digits = decimals(1 << (int(ids.max()) if len(ids) else 0).bit_length())
+    ends = np.cumsum(digits[ids] + 1)
+    # a number of up to seven digits and its separator in eight bytes, of which those unused are left out
+    wide = (names[ids] | (_SEPARATORS[marks] << (8 * digits[ids]).astype(np.uint64))).view(np.uint8)
+    text = wide[wide != 0]
     raw, stops = text.tobytes(), np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_a + n_b)))]
     return [raw[x : max(x, y - 1)] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
