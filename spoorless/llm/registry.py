@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import alignment, caps, language, licences, lines, mixing, ngram_join, packing, tool_calls, tournament, toxicity, winnowing
+from . import alignment, caps, language, licences, lines, mixing, ngram_join, packing, scoring, tool_calls, tournament, toxicity, winnowing
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_tool_calls": tool_calls.op9_tool_calls,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_alignment": alignment.op11_alignment,
+    "op12_scoring": scoring.op12_scoring,
     "op13_centroids": tournament.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
