@@ -213,7 +213,7 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def aligned_blocks(docs: DataFrame, tokenizers: tuple[str, str] | None = None, piece: int = PIECE, chars: int = ledger.BLOCK_CHARS) -> DataFrame:
-    """A row a document, with its links as slots of its block's id pairs and how often it has each; and a row a block."""
+    """A row a document, with its links as slots of its block's id pairs and how often it has each; and an entry for each of these pairs."""
     a_path, b_path = tokenizers or default_tokenizers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +227,14 @@ def aligned_blocks(docs: DataFrame, tokenizers: tuple[str, str] | None = None, p
             bounds = np.searchsorted(owner, np.arange(n + 1))
             hashed = [hashlib.sha256(g).hexdigest() if g else "" for g in found["groups"]]
             pick = lambda v: [ledger.packed(v[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [pa.array([number] * n, pa.int64()), rows.column(0), *[pa.array(found[c], pa.int64()) for c in _COUNTS], pa.array(hashed), pa.array(pick(slot), pa.binary()), pa.array(pick(times), pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
-            names = ["block", "doc_id", *_COUNTS, "groups_sha256", "slots", "times", "keys", "counts"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            block = {"block": number, "keys": keys, "counts": np.bincount(slot, minlength=len(keys))}
-            yield pa.RecordBatch.from_arrays([pa.array([block[c]], x.type) if c in block else pa.nulls(1, x.type) for c, x in zip(names, columns, strict=True)], names=names)
+            document = {"block": [number] * n, "doc_id": rows.column(0), **{c: found[c] for c in _COUNTS}, "groups_sha256": hashed, "slots": pick(slot), "times": pick(times)}
+            yield ledger.batch("document", n, document, fields)
+            entry = {"block": np.full(len(keys), number), "slot": np.arange(len(keys)), "key": keys, "n": np.bincount(slot, minlength=len(keys))}
+            yield ledger.batch("entry", len(keys), entry, fields)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, groups_sha256 string, slots binary, times binary, keys array<long>, counts array<long>"
+    schema = f"what string, block long, doc_id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, groups_sha256 string, slots binary, times binary, slot int, key long, n long"
+    fields = ledger.fields_of(schema)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

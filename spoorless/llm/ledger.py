@@ -1,7 +1,7 @@
 """Documents in bounded blocks whose different keys are looked up in corpus-wide totals once a block.
 
-A task tells, of a block of documents, a row a document and one row of the block's different keys with their
-counts. Totals are grouped over blocks, and each block gets those of its own keys back. So a key that all
+A task tells, of a block of documents, a row a document (``what`` is 'document') and a row for each of the block's
+different keys with its slot and count (``what`` is 'entry'). Totals are grouped over blocks, and each block gets those of its own keys back. So a key that all
 documents hold comes once a block, not once a document, and nothing is broadcast.
 """
 
@@ -13,9 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import shared_folder
 
@@ -31,7 +34,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, chars: int = BLOCK_CH
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        lengths = np.nan_to_num(pa.compute.utf8_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
+        lengths = np.nan_to_num(pc.utf8_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
         begin = 0
         for k, length in enumerate(lengths.tolist()):
             if size and (size + length > chars or rows >= BLOCK_DOCUMENTS):
@@ -64,13 +67,23 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
+def batch(what: str, size: int, columns: dict, fields: list[pa.Field]) -> pa.RecordBatch:
+    """Rows of one kind; columns that the kind doesn't have are null."""
+    columns = {"what": pa.array([what] * size, pa.string()), **columns}
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in fields], names=[f.name for f in fields])
+
+
+def fields_of(schema: str) -> list[pa.Field]:
+    return list(to_arrow_schema(StructType.fromDDL(schema)))
+
+
 def entries(told: DataFrame) -> DataFrame:
-    """``block, slot, key, n`` of the keys of all blocks; told has a row a block with ``keys`` and ``counts``."""
-    return told.filter("keys IS NOT NULL").select("block", F.posexplode(F.arrays_zip("keys", "counts")).alias("slot", "e")).select("block", "slot", F.col("e.keys").alias("key"), F.col("e.counts").alias("n"))
+    """``block, slot, key, n`` of the different keys of all blocks."""
+    return told.filter("what = 'entry'").select("block", "slot", "key", "n")
 
 
 def looked_up(told: DataFrame, found: DataFrame, finish, schema: str) -> DataFrame:
     """Give ``finish(documents, found)`` each block's documents and what was found for its keys, as tables."""
-    documents = told.filter("keys IS NULL").drop("keys", "counts")
+    documents = told.filter("what = 'document'").drop("what", "slot", "key", "n")
     found = found.select(*[F.col(c).alias("of_block" if c == "block" else c) for c in found.columns])  # another column than the documents'
     return documents.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(finish, schema)
