@@ -77,9 +77,9 @@ def fields_of(schema: str) -> list[pa.Field]:
     return list(to_arrow_schema(StructType.fromDDL(schema)))
 
 
-def entries(told: DataFrame) -> DataFrame:
-    """``block, slot, key, n`` of the different keys of all blocks."""
-    return told.filter("what = 'entry'").select("block", "slot", "key", "n")
+def entries(told: DataFrame, *more: str) -> DataFrame:
+    """``block, slot, key, n`` of the different keys of all blocks, and more columns that keys have."""
+    return told.filter("what = 'entry'").select("block", "slot", "key", "n", *more)
 
 
 def looked_up(told: DataFrame, found: DataFrame, finish, schema: str) -> DataFrame:
