@@ -1,6 +1,7 @@
 """Scanning, cleaning and verifying a DataFrame of files.
 
-``files`` has ``path, length, content`` and, where known, ``xattrs`` (array of name and value). Texts stay in
+``files`` has ``path, length, content`` and, where known, ``xattrs`` (array of name and value) and ``pos``, the place
+of a request, which is handed on; a path that is asked for twice has a row for each. Texts stay in
 Catalyst expressions; only the bytes of binary containers cross into Python, once, in small batches.
 Whatever is wrong with a file becomes a row.
 """
@@ -30,11 +31,23 @@ def _xattr_finding(files: DataFrame) -> Column:
     return F.array_compact(F.array(markup.finding("xattr", F.size(private_xattrs(F.coalesce("xattrs", F.array().cast(files.schema["xattrs"].dataType))))))).cast(FINDINGS)
 
 
-def prepared(files: DataFrame) -> DataFrame:
+def _carried(files: DataFrame) -> list[str]:
+    return [c for c in ("pos",) if c in files.columns]
+
+
+def kept_xattrs(files: DataFrame, remove_private: bool) -> list[Column]:
+    """The extended attributes that a cleaned file gets, where they are known: all, or all but the private ones."""
+    if "xattrs" not in files.columns:
+        return []
+    kept = F.filter("xattrs", lambda x: ~x["name"].isin(*PRIVATE_XATTRS)) if remove_private else F.col("xattrs")
+    return [kept.alias("kept_xattrs")]
+
+
+def prepared(files: DataFrame, *more: Column) -> DataFrame:
     """``path, name, ext, size, format, content, extra``; the content of too large files isn't read."""
     name = formats.file_name(F.col("path"))
     fits = F.col("length") <= MAX_INPUT_BYTES
-    rows = files.select("path", name.alias("name"), formats.extension(name).alias("ext"), F.col("length").alias("size"), F.when(fits, F.col("content")).alias("content"), _xattr_finding(files).alias("extra"))
+    rows = files.select("path", name.alias("name"), formats.extension(name).alias("ext"), F.col("length").alias("size"), F.when(fits, F.col("content")).alias("content"), _xattr_finding(files).alias("extra"), *more, *_carried(files))
     found = F.when(F.col("size") > MAX_INPUT_BYTES, "Unknown").otherwise(formats.detect(F.col("ext"), F.col("content")))
     return once(rows.withColumn("_found", found), "format", F.col("_found")).drop("_found")
 
@@ -107,27 +120,31 @@ def scan(files: DataFrame) -> DataFrame:
     """A report a file: ``path, name, format, size, supported, findings, error_code, error``. Files are read once."""
     rows = prepared(files)
     text = F.when(F.col("format") == "Text", markup.text_findings(F.col("content").cast("string"), F.col("ext")))
-    rows = rows.select("path", "name", "format", "size", "extra", text.alias("text"), _kernel(None).alias("k"))
+    carried = _carried(files)
+    rows = rows.select("path", "name", "format", "size", "extra", text.alias("text"), _kernel(None).alias("k"), *carried)
     refused, shown = _refusal()
     error = F.coalesce(shown, F.col("k.error"))
     found = F.when(error.isNull(), F.concat(F.coalesce("text", "k.findings"), "extra")).otherwise(F.array().cast(FINDINGS))
     size = F.when(F.col("format") == "Unknown", 0).otherwise(F.col("size"))
-    return rows.select("path", "name", "format", size.alias("size"), error.isNull().alias("supported"), found.alias("findings"), F.coalesce(refused, F.col("k.code")).alias("error_code"), error.alias("error"))
+    return rows.select("path", "name", "format", size.alias("size"), error.isNull().alias("supported"), found.alias("findings"), F.coalesce(refused, F.col("k.code")).alias("error_code"), error.alias("error"), *carried)
 
 
 def clean(files: DataFrame, options: Options = Options()) -> DataFrame:
     """A candidate a file, verified: ``path, name, format, source_size, cleaned, output_size, removed, success, error_code, error``.
 
-    ``cleaned`` is null wherever an error stands, so nothing unverified can reach a sink.
+    ``cleaned`` is null wherever an error stands, so nothing unverified can reach a sink. Where ``files`` tells
+    extended attributes, ``kept_xattrs`` are those that the cleaned file gets.
     """
-    rows = prepared(files)
+    kept = kept_xattrs(files, options.remove_extended_attributes)
+    rows = prepared(files, *kept)
+    more = [*_carried(files), *(["kept_xattrs"] if kept else [])]
     is_text, body = F.col("format") == "Text", F.col("content").cast("string")
     texts = F.when(is_text, F.struct(markup.clean_markup(body, F.col("ext")).alias("candidate"), markup.text_findings(body, F.col("ext")).alias("findings")))
-    rows = once(rows.select("path", "name", "ext", "format", "size", "extra", _kernel(options).alias("k"), texts.alias("_t")), "t", F.col("_t"))
+    rows = once(rows.select("path", "name", "ext", "format", "size", "extra", _kernel(options).alias("k"), texts.alias("_t"), *more), "t", F.col("_t"))
     rows = rows.withColumn("bytes", F.coalesce(F.encode("t.candidate", "UTF-8"), "k.cleaned")).withColumn("removed", F.coalesce("t.findings", "k.findings"))
     left = F.when(is_text, queue.residual(markup.text_findings(F.col("t.candidate"), F.col("ext"))))
     checks = F.struct(formats.detect(F.col("ext"), F.col("bytes")).alias("now"), left.alias("left"))
-    rows = once(rows.select("path", "name", "format", "size", "extra", "k", "bytes", "removed", checks.alias("_c")), "c", F.col("_c"))
+    rows = once(rows.select("path", "name", "format", "size", "extra", "k", "bytes", "removed", checks.alias("_c"), *more), "c", F.col("_c"))
     refused, shown = _refusal()
     changed = F.col("bytes").isNotNull() & (F.col("c.now") != F.col("format"))
     text = (
@@ -139,7 +156,7 @@ def clean(files: DataFrame, options: Options = Options()) -> DataFrame:
     removed = F.concat("removed", "extra") if options.remove_extended_attributes else F.col("removed")
     return rows.select(
         "path", "name", "format", F.when(fine, F.col("size")).alias("source_size"), F.when(fine, F.col("bytes")).alias("cleaned"), F.when(fine, F.length("bytes").cast("long")).alias("output_size"),
-        F.when(fine, removed).otherwise(F.array().cast(FINDINGS)).alias("removed"), fine.alias("success"), "error_code", "error",
+        F.when(fine, removed).otherwise(F.array().cast(FINDINGS)).alias("removed"), fine.alias("success"), "error_code", "error", *more,
     )
 
 

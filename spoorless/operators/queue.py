@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions.scalars import natural_key
 
 
@@ -99,14 +100,37 @@ def history_ratio(results: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: Column) -> DataFrame:
-    """Rows with their ``place`` from 1 in the order of a key: a sort by range, and the ranges' counts before each."""
-    ordered = rows.withColumn("_key", key).orderBy("_key").withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.join(F.broadcast(offsets), part == F.col("_part")).withColumn("place", F.col("_before") + own + 1).drop("_key", "_id", "_part", "_n", "_before")
+    """Rows with their ``place`` from 1 in the order of a key: a sort by range, and the ranges' counts before each.
+
+    The sorted rows are numbered within their ranges and written once; counts and places are both read from
+    there, so that they tell of the same ranges however often they are asked. Equal keys have places in any order.
+    """
+    names = rows.columns
+    sorted_ = rows.withColumn("_key", key).orderBy("_key").select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.monotonically_increasing_id().alias("id"))
+    ordered = shared.once(sorted_, "ranked")
+    part = F.shiftright("id", 33)
+    counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ordered.join(F.broadcast(offsets), part == F.col("part"))
+    return placed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], (F.col("before") + own + 1).alias("place"))
+
+
+def delivered(results: DataFrame) -> DataFrame:
+    """Results in the order of ``pos``, with their ``place`` in it; repeated paths have a result each."""
+    return ranked(results, F.col("pos")).orderBy("place")
+
+
+def first_by_position(rows: DataFrame, most: int, *by: str, pos: str = "pos") -> DataFrame:
+    """Of the rows of each group those at its first ``most`` positions, counted from 1 as given.
+
+    It is a condition on the position, so a filter before it or after it leaves the same rows: what a later
+    filter drops isn't made up for by later positions.
+    """
+    first = rows.groupBy(*by).agg(F.min(pos).alias("_first")) if by else rows.agg(F.min(pos).alias("_first"))
+    joined = rows.join(first, list(by)) if by else rows.join(F.broadcast(first))  # one row
+    return joined.filter(F.col(pos) < F.col("_first") + most).drop("_first")
 
 
 def manifest_difference(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

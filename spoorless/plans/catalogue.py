@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +11,9 @@ from ..operators import engine, queue
 from ..schemas import FINDINGS, MAX_INPUT_BYTES, Options
 from . import fixtures as fx
 from . import oracle as o
+from .registered import ORACLES, QUERIES, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def _exploded(rows: DataFrame, key: str, findings: Column, *more: str) -> DataFrame:
     f = rows.select(key, *more, F.explode(findings).alias("f"))
@@ -443,3 +429,6 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("shown_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1048576 THEN printf('%.0f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS shown FROM (SELECT doc_id, n_chars * 7 + 1 AS n FROM documents)")
 def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.shown_bytes(F.col("n_chars") * 7 + 1).alias("shown"))
+
+
+from . import delivery  # noqa: E402,F401  registers its own
