@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,14 @@ from . import blocks
 from .common import components, cut, load
 
 COSINE = 0.98
-#: A code word is one of CODES directions in each of BLOCKS blocks of the dimensions; so CODES ** BLOCKS filters.
+#: A code word is one of some directions, CODES at least, in each of BLOCKS blocks of the dimensions; so that number ** BLOCKS filters.
 BLOCKS, CODES = 4, 16
-#: A vector passes a filter if it lies so many standard deviations of a random direction towards it ...
-CAP = 3.6
-#: ... and passes its nearest LEAST filters in any case.
-LEAST = 10
+#: Of as many random directions, a vector lies so far towards about PASSED; it passes the filters that lie as far,
+PASSED = 10
+#: and its nearest LEAST in any case, but no more than its nearest MOST.
+LEAST, MOST = 10, 64
+#: Vectors of fewer dimensions are first laid into so many.
+WIDE = 32
 #: Vectors of a filter that are compared in one piece; larger ones are cut into pieces of about this size.
 PIECE = 1024
 
@@ -31,6 +34,25 @@ def code_book(dimensions: int, blocks: int = BLOCKS, codes: int = CODES) -> list
     return [b / np.linalg.norm(b, axis=1, keepdims=True) for b in book]
 
 
+def codes_for(vectors: int) -> int:
+    """Directions a block, so that filters are as many as vectors at least; the book grows with the table, and buckets don't."""
+    codes = CODES
+    while codes**BLOCKS < vectors:
+        codes *= 2
+    return codes
+
+
+def rotation(dimensions: int) -> np.ndarray:
+    """A random isometry into WIDE dimensions at least, the same for every run.
+
+    It keeps all cosines and spreads a vector over the blocks, whichever of its own coordinates hold its mass
+    and however few these are.
+    """
+    wide = max(dimensions, WIDE)
+    q, r = np.linalg.qr(np.random.default_rng(20_232 + dimensions).standard_normal((wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dimensions]
+
+
 def unit_vectors(rows: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision; scaled first, so that squares neither vanish nor overflow."""
     rows = rows.astype(np.float64)
@@ -38,12 +60,14 @@ def unit_vectors(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows**2).sum(1, keepdims=True))
 
 
-def list_decode(vectors: np.ndarray, book: list[np.ndarray], cap: float = CAP, least: int = LEAST) -> list[np.ndarray]:
-    """Filters that each unit vector passes, in ascending order.
+def list_decode(vectors: np.ndarray, book: list[np.ndarray], cap: float | None = None, least: int = LEAST, most: int = MOST) -> list[np.ndarray]:
+    """Filters that each unit vector passes, in ascending order: those ``cap`` standard deviations towards it, as far as ``least`` and ``most`` allow.
 
     Blocks are joined one by one; a beginning stays only while the best ends of the remaining blocks
     could still lift it over the threshold, so far fewer than all products are looked at.
     """
+    filters = int(np.prod([len(b) for b in book]))
+    cap = NormalDist().inv_cdf(1 - min(0.5, PASSED / filters)) if cap is None else cap
     cuts = np.cumsum([b.shape[1] for b in book])[:-1]
     scores = [part @ b.T for part, b in zip(np.split(vectors, cuts, 1), book, strict=True)]
     # of a random code word the score has this spread: each block adds its squared length over its size
@@ -63,21 +87,26 @@ def list_decode(vectors: np.ndarray, book: list[np.ndarray], cap: float = CAP, l
             if len(code) >= min(least, np.prod([s.shape[1] for s in scores])) or bound < -2:
                 break
             bound -= 0.25 * spread[i]
+        if len(code) > most:
+            code = code[np.argsort(-total, kind="stable")[:most]]
         out.append(np.sort(code))
     return out
 
 
-def _filters(vectors: DataFrame) -> DataFrame:
+def _filters(vectors: DataFrame, codes: int) -> DataFrame:
     """``rid, label, n, dim, embedding, filters`` of ``rid, label, n, embedding``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, list[np.ndarray]] = {}
+        books: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for batch in batches:
             rows = batch.column("embedding").to_pylist()
             filters = [None] * len(rows)
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
-                for i, f in zip(at, list_decode(unit_vectors(np.array([rows[i] for i in at])), books.setdefault(dim, code_book(dim))), strict=True):
+                if dim not in books:
+                    books[dim] = (rotation(dim), code_book(max(dim, WIDE), codes=codes))
+                turned, book = books[dim]
+                for i, f in zip(at, list_decode(unit_vectors(np.array([rows[i] for i in at])) @ turned, book), strict=True):
                     filters[i] = f
             columns = [batch.column("rid"), batch.column("label"), batch.column("n"), pa.array([len(r) for r in rows], pa.int32()), batch.column("embedding"), pa.array(filters, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["rid", "label", "n", "dim", "embedding", "filters"])
@@ -115,7 +144,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, piece: int = PIE
     # hot classes are grouped partially before the shuffle; a class has a number of its own, as a vec_id may be repeated
     grouped = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")))
     classes = cut(grouped.withColumn("rid", F.monotonically_increasing_id()))
-    coded = cut(_filters(classes.select("rid", "label", "n", "embedding")))
+    coded = cut(_filters(classes.select("rid", "label", "n", "embedding"), codes_for(classes.count())))
     name = F.xxhash64("label", "dim", "filter")  # should two filters share a name, kinds still tell their vectors apart
     each = coded.select("rid", "label", "dim", F.explode("filters").alias("filter")).select("rid", name.alias("bucket"))
     each = cut(each)
