@@ -45,13 +45,31 @@ def source_rates(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights
     return found.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def copies(rate: Column, doc_id: Column, seed: str = "mix") -> Column:
-    """floor(rate) copies and one more with the fraction's probability, drawn from a hash of the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def copies(rate: Column, name: Column) -> Column:
+    """floor(rate) copies and one more with the fraction's probability, drawn from a hash of a name."""
+    draw = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
 
 
+def named(rows: DataFrame, name: str, text: Column, seed: str) -> DataFrame:
+    """Add the name by which a row draws: of its doc_id; rows that share one, or have none, have a number of their own in it.
+
+    Those are numbered apart by the hash ``text`` of their text and by source, so that neither one id nor
+    rows without id are gathered; only rows alike in all of these are told apart by their order, which is any.
+    """
+    own, of, part = free_names(rows, 6)[3:]
+    plain = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    repeated = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(of), F.lit(True).alias(own)))
+    count = repeated.count()
+    if not count:
+        return rows.withColumn(name, plain)
+    marked = rows.join(F.broadcast(repeated) if count <= BROADCAST_SOURCES else repeated, F.col("doc_id").eqNullSafe(F.col(of)), "left").drop(of)
+    several = marked.filter(F.col(own)).withColumn(part, F.xxhash64(text, "source"))
+    number = F.row_number().over(Window.partitionBy("doc_id", part).orderBy(F.lit(1)))
+    several = several.withColumn(name, F.concat_ws(":", plain, F.col(part).cast("string"), number.cast("string"))).drop(own, part)
+    return marked.filter(F.col(own).isNull()).drop(own).withColumn(name, plain).unionByName(several)
+
+
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
     (own,) = free_names(rows, 3)[2:]  # beside the names that a caller has taken
     rates = cut(rates.withColumnRenamed("source", own))
@@ -64,21 +82,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     """Emit each document of ``doc_id, text, source, ...`` as often as its source's rate says.
 
     Null and empty texts have size 0 and follow their source's rate; a source whose sizes are all 0 has
-    rate 0. Null sources form one source. Rows without an id draw alike, and so do repeated rows. An empty
+    rate 0. Null sources form one source. Rows that share an id, or have none, draw each for itself. An empty
     table gives an empty one. Other columns, whatever their names, are kept as they are.
     """
     rates = source_rates(docs.select("source", size_of(F.col("text")).alias("size")), share, cap, weights)
     rate, copy = free_names(docs, 2)
     marked = _with_rates(docs, rates.select("source", F.col("rate").alias(rate)))
-    times = F.array_repeat(F.lit(1), copies(F.col(rate), F.col("doc_id"), seed).cast("int"))
-    return marked.withColumn(copy, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.array_repeat(F.lit(1), copies(F.col(rate), F.col(copy)).cast("int"))
+    return named(marked, copy, F.xxhash64("text"), seed).withColumn(copy, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def taken(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), seed: str = "mix") -> DataFrame:
     """What :func:`mix` takes of each document: ``doc_id, size, source_size, target, taken``."""
-    sizes = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
-    rated = _with_rates(sizes, source_rates(sizes, share, cap, weights))
-    return rated.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"))
+    sizes = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")))
+    rated = named(_with_rates(sizes, source_rates(sizes, share, cap, weights)), "name", F.col("hash"), seed)
+    return rated.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("name"))).alias("taken"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_columns_of_like_names_null_ids_and_long_texts(spark):
     got = mixing.mix(docs)
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
     assert sorted((r["doc_id"] or 0, r["size"], r["source_size"]) for r in mixing.taken(docs).collect()) == [(0, 0, 0), (0, 100_000, 100_002), (1, 2, 100_002)]
+
+
+def test_rows_that_share_an_id_or_have_none_draw_each_for_itself(spark):
+    rows = [(None, f"{'w ' * 10}{k % 40}", "none") for k in range(500)] + [(7, f"{'w ' * 10}", "same") for _ in range(500)] + [(1_000 + k, "w " * 10, "c") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.taken(docs).groupBy("doc_id").agg({"taken": "sum", "target": "max", "size": "count"}).filter("doc_id IS NULL OR doc_id = 7").collect()
+    for r in got:
+        assert r["count(size)"] == 500 and abs(r["sum(taken)"] - r["max(target)"]) <= 0.12 * r["max(target)"]
+    mixed = {r["source"]: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()}
+    taken = {r["source"]: r["n"] for r in mixing.taken(docs).selectExpr("CASE WHEN doc_id IS NULL THEN 'none' WHEN doc_id = 7 THEN 'same' ELSE 'c' END AS source", "taken / size AS c").groupBy("source").agg({"c": "sum"}).withColumnRenamed("sum(c)", "n").collect()}
+    assert mixed == taken
