@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import letter_runs, load
@@ -19,8 +19,8 @@ LANGUAGES, FIT_DOCUMENTS = 200, 1_000
 LONGEST = 5
 #: A document's evidence is that of so many of its average words at most, so that scores stay graded.
 WORDS_COUNTED = 24.0
-#: Words whose evidence a Python worker remembers at most.
-REMEMBERED = 150_000
+#: Words that a Python worker remembers at most, and the numbers of which the evidence of unseen ones may consist.
+REMEMBERED, NUMBERS = 250_000, 8_000_000
 #: Documents below this score are rejected by the filter.
 ACCEPTED = 0.5
 UNDETERMINED = "und"
@@ -32,95 +32,150 @@ def grams_of(word: str, size: int) -> list[str]:
     return [g for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) not in "^$"]
 
 
-class Table:
-    """Rows of smoothed log frequencies by language, one an entry, in a single matrix."""
+def name_of(text: str) -> int:
+    """The 64-bit hash by which words and n-grams are known, the same as the engine's own of a string."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+
+
+class Places:
+    """Places of entries by the hashes of their texts, which are sorted."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+
+    def many(self, texts: list[str]) -> np.ndarray:
+        """The place of each text, or -1."""
+        wanted = np.fromiter(map(name_of, texts), np.uint64, len(texts))
+        if not len(self.names):
+            return np.full(len(texts), -1)
+        at = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
+        return np.where(self.names[at] == wanted, at, -1)
 
-    def __init__(self, counts: dict[str, np.ndarray], languages: int):
-        self.rows = {key: i for i, key in enumerate(counts)}
-        values = np.array(list(counts.values()), np.float64).reshape(len(counts), languages)
-        logs = np.log((values + 0.1) / (values.sum(0) + 0.1 * max(1, len(values))))
+    def __getitem__(self, text: str) -> int:
+        return int(self.many([text])[0])
+
+
+class Rows:
+    """Rows by language of which only the languages that an entry was seen in are held; all others are alike."""
+
+    def __init__(self, starts: np.ndarray, languages: np.ndarray, more: np.ndarray, base: np.ndarray):
+        self.starts, self.languages, self.more, self.base = starts, languages, more, base
         # centred for each entry: only the differences between languages count
-        self.logs = (logs - logs.sum(1, keepdims=True) / max(1, languages)).astype(np.float32)
+        sums = np.concatenate(([0.0], np.cumsum(more, dtype=np.float64)))[starts]
+        self.mean = (np.diff(sums) / max(1, len(base))).astype(np.float32)
+
+    def total(self, places: np.ndarray) -> np.ndarray:
+        """The sum of some rows."""
+        begin, n = self.starts[places], self.starts[places + 1] - self.starts[places]
+        held = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        seen = np.bincount(self.languages[held], self.more[held], len(self.base))
+        return len(places) * self.base + seen - self.mean[places].sum(dtype=np.float64)
+
+    def __getitem__(self, place: int) -> np.ndarray:
+        return self.total(np.array([place]))
+
+
+class Table:
+    """Smoothed log frequencies by language of entries, from (hash, language, count) triples in any order."""
+
+    def __init__(self, names: np.ndarray, languages: np.ndarray, counts: np.ndarray, of: int):
+        order = np.lexsort((languages, names))
+        names, languages, counts = names[order], languages[order], counts[order]
+        fresh = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+        self.rows = Places(names[fresh])
+        totals = np.bincount(languages, counts, of)
+        base = -np.log(totals + 0.1 * max(1, len(fresh)))
+        base -= base.sum() / max(1, of)
+        self.logs = Rows(np.append(fresh, len(names)), languages.astype(np.uint16), np.log1p(counts * 10.0).astype(np.float32), base)
 
 
 class Backoff:
     """Log frequencies of words and, for n = LONGEST to 1, of n-grams, by language."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
-        self.languages = sorted(counts)
-        n = len(self.languages)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n, np.float32))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n, np.float32)) for _ in range(LONGEST + 1)]
-        for k, language in enumerate(self.languages):
+        triples: list[dict[tuple[int, int], int]] = [defaultdict(int) for _ in range(LONGEST + 1)]
+        for k, language in enumerate(sorted(counts)):
             for word, count in counts[language].items():
-                words[word][k] += count
+                triples[0][name_of(word), k] += count
                 for size in range(1, LONGEST + 1):
                     for gram in grams_of(word, size):
-                        grams[size][gram][k] += count
-        self.words = Table(words, n)
-        self.grams = [Table(g, n) for g in grams]
+                        triples[size][name_of(gram), k] += count
+        self._tell(sorted(counts), [(np.array([n for n, _ in t], np.uint64), np.array([k for _, k in t], np.int64), np.array(list(t.values()), np.float64)) for t in triples])
+
+    @classmethod
+    def of(cls, languages: list[str], triples: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Backoff:
+        """From triples of words, and of 1-grams to LONGEST-grams."""
+        model = cls.__new__(cls)
+        model._tell(languages, triples)
+        return model
+
+    def _tell(self, languages: list[str], triples: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.languages = languages
+        self.words, *self.grams = [Table(*t, len(languages)) for t in triples]
 
     def evidence(self, word: str) -> np.ndarray | None:
         """Of a known word its own; else the mean over its longest n-grams of which any are known."""
-        if (at := self.words.rows.get(word)) is not None:
-            return self.words.logs[at]
-        marked = f"^{word}$"
+        at = self.words.rows[word]
+        return self.words.logs[at] if at >= 0 else self.guess(word)
+
+    def guess(self, word: str) -> np.ndarray | None:
+        """The mean over a word's longest n-grams of which any are known."""
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size]
-            get = table.rows.get
-            found = [at for i in range(len(marked) - size + 1) if (at := get(marked[i : i + size])) is not None]
-            if found:
-                return table.logs[found].sum(0) / len(found)
+            table = self.grams[size - 1]
+            found = table.rows.many(grams_of(word, size))
+            if (found := found[found >= 0]).size:
+                return table.logs.total(found) / len(found)
         return None
 
 
 class Judge:
-    """Language and score of texts; known words are looked up, the evidence of unseen ones is remembered."""
+    """Language and score of texts; where a word is known, or its evidence where it isn't, is remembered."""
 
     def __init__(self, model: Backoff, remembered: int = REMEMBERED):
-        self.model, self.most = model, remembered
+        self.model = model
+        # what is remembered of unseen words has a number a language
+        self.most, self.most_unseen = remembered, max(1, min(remembered, NUMBERS // max(1, len(model.languages))))
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # place of a known word, or -1 - k for row k of the table
         self.table = np.zeros((1024, len(self.model.languages)), np.float32)  # row 0: words that say nothing
         self.used = 1
 
-    def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.at)
-        if len(self.at) + len(new) > self.most:
-            self._forget()
-            new = words
-        for word in new:
-            row = self.model.evidence(word)
-            if row is None:
-                self.at[word] = 0
-                continue
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = row
-            self.at[word] = self.used
-            self.used += 1
+    def _learn(self, words: list[str]) -> None:
+        places = self.model.words.rows.many(words)
+        for word, place in zip(words, places.tolist(), strict=True):
+            if place < 0:
+                row = self.model.guess(word)
+                if row is not None:
+                    if self.used == len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[self.used] = row
+                    place, self.used = -1 - self.used, self.used + 1
+            self.at[word] = place
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.at.get, words))
+        if None in found:
+            new = {w for w, place in zip(words, found, strict=True) if place is None}
+            if len(self.at) + len(new) > self.most or self.used + len(new) > self.most_unseen:
+                self._forget()
+                new = set(words)
+            self._learn(sorted(new))
+            found = list(map(self.at.__getitem__, words))
+        return np.array(found, np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = letter_runs((text or "").lower())
-        languages, known = self.model.languages, self.model.words
+        languages = self.model.languages
         if not words or not languages:
             return UNDETERMINED, 0.0
         total, weight = np.zeros(len(languages)), 0
-        for begin in range(0, len(words), 65_536):  # a very long text in parts
-            part = words[begin : begin + 65_536]
-            places = list(map(known.rows.get, part, repeat(-1)))
-            unseen = [word for word, place in zip(part, places, strict=True) if place < 0]
-            at = np.array(places, np.int64)
-            at = at[at >= 0]
-            total += known.logs[at].sum(0, dtype=np.float64)
-            weight += len(at)
-            if unseen:
-                self._learn(set(unseen))
-                rows = np.fromiter(map(self.at.__getitem__, unseen), np.int64, len(unseen))
-                total += self.table[rows].sum(0, dtype=np.float64)
-                weight += int(np.count_nonzero(rows))
+        for begin in range(0, len(words), 16_384):  # a very long text in parts
+            places = self._places(words[begin : begin + 16_384])
+            known, rows = places[places >= 0], -1 - places[places < 0]
+            total += self.model.words.logs.total(known) + self.table[rows].sum(0, dtype=np.float64)
+            weight += len(known) + int(np.count_nonzero(rows))
         if weight:
             total *= min(1.0, WORDS_COUNTED / weight)
         p = np.exp(total - total.max())
@@ -133,24 +188,34 @@ def fit(rows: DataFrame, documents: int = FIT_DOCUMENTS, languages: int = LANGUA
     """Fit on labelled ``text, lang, doc_id`` rows; null texts and languages are left out.
 
     The sample is bounded: of each of the ``languages`` most frequent languages about ``documents`` rows,
-    chosen by a hash of the id, with all of their words. It is all that reaches the driver.
+    chosen by a hash of the id, with all of their words. Words and n-grams are counted on Spark; their hashes
+    and counts, a few bytes each, are all that reaches the driver.
     """
     labelled = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     by_size = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
     sizes = {r["lang"]: r["n"] for r in by_size.collect()}
     if not sizes:
         return Backoff({})
+    names = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, documents / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = labelled.filter(draw < F.try_element_at(share, F.col("lang")))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for row in words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        counts[row["lang"]][row["word"]] = row["n"]
-    return Backoff(counts)
+    place = F.try_element_at(F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)]), F.col("lang"))
+    words = sample.select(place.alias("k"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("k", "word").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+
+    def grams(size: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(marked) - size + 1), lambda i: F.struct(F.lit(size).alias("size"), F.substring(marked, i, F.lit(size)).alias("text")))
+        runs = F.filter(runs, lambda g: ~g["text"].isin("^", "$")) if size == 1 else runs
+        return F.when(F.length(marked) >= size, runs).otherwise(F.array().cast("array<struct<size: int, text: string>>"))
+
+    every = F.concat(F.array(F.struct(F.lit(0).alias("size"), F.col("word").alias("text"))), *[grams(size) for size in range(1, LONGEST + 1)])
+    entries = words.select("k", "n", F.explode(every).alias("e")).groupBy(F.col("e.size").alias("size"), F.xxhash64("e.text").alias("name"), "k").agg(F.sum("n").alias("n"))
+    size, name, k, n = (c.to_numpy() for c in entries.toArrow().columns)
+    return Backoff.of(names, [(name[size == s].view(np.uint64), k[size == s].astype(np.int64), n[size == s].astype(np.float64)) for s in range(LONGEST + 1)])
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """Documents that the registered query neither learns from nor counts: those of remainder 1."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 

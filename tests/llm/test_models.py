@@ -151,3 +151,37 @@ def test_toxicity_of_null_ids_and_long_texts(spark):
     labels = [(i, int(i % 4 == 0)) for i in range(120)]
     got = toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_the_engine_and_the_model_know_words_by_the_same_hash(spark):
+    words = ["", "a", "naïve", "漢字", "🙂x", "long" * 50]
+    got = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("xxhash64(w) AS h").collect()
+    assert [r["h"] % (1 << 64) for r in got] == [language.name_of(w) for w in words]
+
+
+def test_the_fit_counts_as_the_model_does(spark):
+    rows = [(i, prose(lang, 30) + " x Éa", lang) for i in range(12) for lang in SYLLABLES]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: {} for lang in SYLLABLES}
+    for _, text, lang in rows:
+        for word in text.lower().split():
+            counts[lang][word] = counts[lang].get(word, 0) + 1
+    want = language.Backoff(counts)
+    for a, b in zip([model.words, *model.grams], [want.words, *want.grams], strict=True):
+        assert (a.rows.names == b.rows.names).all() and np.allclose(a.logs.more, b.logs.more) and np.allclose(a.logs.base, b.logs.base)
+
+
+def test_two_hundred_languages_of_twenty_thousand_words_fit_into_a_gigabyte():
+    import tracemalloc
+
+    draw = np.random.default_rng(9)
+    tracemalloc.start()
+    triples = []
+    for entries in (20_000, 40, 700, 6_000, 15_000, 25_000):
+        names = draw.integers(0, 1 << 63, 200 * entries, np.uint64) if entries > 1_000 else draw.integers(0, 2_000, 200 * entries).astype(np.uint64)
+        triples.append((names, np.repeat(np.arange(200), entries), np.ones(200 * entries)))
+    model = language.Backoff.of([f"l{k:03}" for k in range(200)], triples)
+    judge = language.Judge(model)
+    assert judge.predict("some words that nobody knows")[0] in model.languages
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000_000
+    tracemalloc.stop()
