@@ -71,6 +71,13 @@ class Rows:
         seen = np.bincount(self.languages[held], self.more[held], len(self.base))
         return len(places) * self.base + seen - self.mean[places].sum(dtype=np.float64)
 
+    def totals(self, places: np.ndarray, owners: np.ndarray, count: int) -> np.ndarray:
+        """The sums of the rows of each of ``count`` owners."""
+        begin, n, of = self.starts[places], self.starts[places + 1] - self.starts[places], len(self.base)
+        held = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        seen = np.bincount(np.repeat(owners, n) * of + self.languages[held], self.more[held], count * of).reshape(count, of)
+        return seen + np.bincount(owners, minlength=count)[:, None] * self.base - np.bincount(owners, self.mean[places], count)[:, None]
+
     def __getitem__(self, place: int) -> np.ndarray:
         return self.total(np.array([place]))
 
@@ -119,13 +126,22 @@ class Backoff:
         return self.words.logs[at] if at >= 0 else self.guess(word)
 
     def guess(self, word: str) -> np.ndarray | None:
-        """The mean over a word's longest n-grams of which any are known."""
+        rows, said = self.guesses([word])
+        return rows[0] if said[0] else None
+
+    def guesses(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean over each word's longest n-grams of which any are known; and whether there are any."""
+        out, said = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), bool)
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size - 1]
-            found = table.rows.many(grams_of(word, size))
-            if (found := found[found >= 0]).size:
-                return table.logs.total(found) / len(found)
-        return None
+            table, left = self.grams[size - 1], np.flatnonzero(~said)
+            grams = [grams_of(words[k], size) for k in left.tolist()]
+            place = table.rows.many([g for some in grams for g in some])
+            owner = np.repeat(np.arange(len(left)), np.fromiter(map(len, grams), np.int64, len(grams)))[place >= 0]
+            n = np.bincount(owner, minlength=len(left))
+            sums = table.logs.totals(place[place >= 0], owner, len(left))
+            out[left[n > 0]] = sums[n > 0] / n[n > 0][:, None]
+            said[left[n > 0]] = True
+        return out, said
 
 
 class Judge:
@@ -143,30 +159,51 @@ class Judge:
         self.used = 1
 
     def _learn(self, words: list[str]) -> None:
-        places = self.model.words.rows.many(words)
-        for word, place in zip(words, places.tolist(), strict=True):
-            if place < 0:
-                row = self.model.guess(word)
-                if row is not None:
-                    if self.used == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[self.used] = row
-                    place, self.used = -1 - self.used, self.used + 1
-            self.at[word] = place
+        self.at.update(zip(words, self.model.words.rows.many(words).tolist(), strict=True))
+        unseen = [w for w in words if self.at[w] < 0]
+        step = max(1, 4_000_000 // max(1, len(self.model.languages)))
+        for begin in range(0, len(unseen), step):
+            some = unseen[begin : begin + step]
+            rows, said = self.model.guesses(some)
+            while self.used + len(rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self.used : self.used + int(said.sum())] = rows[said]
+            place = np.where(said, -self.used - np.cumsum(said), -1)
+            self.at.update(zip(some, place.tolist(), strict=True))
+            self.used += int(said.sum())
+
+    def learn(self, words: set[str]) -> None:
+        """Remember what isn't yet, of some texts' words at once."""
+        new = words.difference(self.at)
+        if len(self.at) + len(new) > self.most or self.used + len(new) > self.most_unseen:
+            self._forget()
+            new = words
+        if new:
+            self._learn(sorted(new))
 
     def _places(self, words: list[str]) -> np.ndarray:
         found = list(map(self.at.get, words))
         if None in found:
-            new = {w for w, place in zip(words, found, strict=True) if place is None}
-            if len(self.at) + len(new) > self.most or self.used + len(new) > self.most_unseen:
-                self._forget()
-                new = set(words)
-            self._learn(sorted(new))
+            self.learn(set(words))
             found = list(map(self.at.__getitem__, words))
         return np.array(found, np.int64)
 
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of some texts; the words of about a million characters are learned together."""
+        out, begin, sizes = [], 0, np.cumsum([0, *(len(t or "") for t in texts)])
+        while begin < len(texts):
+            stop = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + 1_000_000)) - 1)
+            some = [letter_runs((t or "").lower()) for t in texts[begin:stop]]
+            if stop > begin + 1:  # a very long text is learned in parts
+                self.learn({w for words in some for w in words})
+            out += map(self.judge, some)
+            begin = stop
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = letter_runs((text or "").lower())
+        return self.judge(letter_runs((text or "").lower()))
+
+    def judge(self, words: list[str]) -> tuple[str, float]:
         languages = self.model.languages
         if not words or not languages:
             return UNDETERMINED, 0.0
@@ -234,7 +271,7 @@ def identify(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
         for batch in batches:
-            found = [judge.predict(t.as_py()) for t in batch.column(2)]
+            found = judge.predictions(batch.column(2).to_pylist())
             columns = [*batch.columns[:2], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -252,7 +289,7 @@ def keep_identified(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1_000):
                 part = batch.slice(begin, 1_000)
-                found = [judge.predict(t.as_py()) for t in part.column(at)]
+                found = judge.predictions(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= accepted for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
