@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from ..functions import text as t
 from ..functions.formats import TEXT
 from ..schemas import DOMAIN
 from . import fixtures as fx
 
 
+
+def _spans(told: str) -> list[tuple[int, int]]:
+    """Code point ranges of a text in hexadecimal."""
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (x.partition("-") for x in told.split())]
+
+
+# Code points, told here apart from the tables of the code that the SQL is to judge.
+_HIDDEN = _spans("00AD 034F 061C 115F 1160 17B4 17B5 180B-180E 200B-200F 202A-202E 2060-206F FE00-FE0F FEFF FFF9-FFFB E0000-E007F E0100-E01EF E000-F8FF F0000-FFFFD 100000-10FFFD")
+_BLANK = _spans("00A0 1680 2000-200A 202F 205F 3000")
+_PICTURES = _spans("1F000-1FAFF 2600-27BF 2300-23FF 00A9 00AE 203C 2049 2122 2139")
+_SCRIPTS = _spans("0590-08FF 0900-0DFF 1780-18AF")
+_BESIDE = [(_spans("180B-180D"), _spans("1800-18AF")), (_spans("17B4 17B5"), _spans("1780-17FF")), (_spans("115F 1160"), _spans("1100-11FF"))]
+
+
 def chars(value: str) -> str:
     return " || ".join(f"chr({ord(c)})" for c in value) or "''"
 
@@ -30,14 +43,14 @@ def planted(traces: list[str]) -> str:
 def judged(source: str, name: str, key: str = "doc_id", column: str = "text") -> str:
     """Each code point of a text with its neighbours, and whether it counts."""
     keep = [
-        f"(c IN (8205, 65039) AND p IS NOT NULL AND ({within('p', t.EMOJI)} OR (c = 8205 AND n IS NOT NULL AND ({within('n', t.EMOJI)} OR p = 65039))))",
-        *[f"(c IN (8204, 8205) AND {within('p', [s])} AND {within('n', [s])})" for s in t.JOINED_SCRIPTS],
-        *[f"({within('c', [m])} AND p IS NOT NULL AND n IS NOT NULL AND ({within('p', [b])} OR {within('n', [b])}))" for m, b in t.NEIGHBOURS],
+        f"(c IN (8205, 65039) AND p IS NOT NULL AND ({within('p', _PICTURES)} OR (c = 8205 AND n IS NOT NULL AND ({within('n', _PICTURES)} OR p = 65039))))",
+        *[f"(c IN (8204, 8205) AND {within('p', [s])} AND {within('n', [s])})" for s in _SCRIPTS],
+        *[f"({within('c', m)} AND p IS NOT NULL AND n IS NOT NULL AND ({within('p', b)} OR {within('n', b)}))" for m, b in _BESIDE],
     ]
     return f"""{name}_s AS (SELECT {key}, string_split({column}, '') AS cs FROM {source}),
 {name}_c AS (SELECT {key}, unnest(cs) AS ch, unnest(range(1, len(cs) + 1)) AS i FROM {name}_s),
 {name}_n AS (SELECT {key}, ch, i, unicode(ch) AS c, lag(unicode(ch)) OVER w AS p, lead(unicode(ch)) OVER w AS n FROM {name}_c WHERE ch <> '' WINDOW w AS (PARTITION BY {key} ORDER BY i)),
-{name} AS (SELECT {key}, ch, i, {within('c', t.INVISIBLE)} AND NOT coalesce({' OR '.join(keep)}, false) AS inv, {within('c', t.SPACES)} AS sp FROM {name}_n)"""
+{name} AS (SELECT {key}, ch, i, {within('c', _HIDDEN)} AND NOT coalesce({' OR '.join(keep)}, false) AS inv, {within('c', _BLANK)} AS sp FROM {name}_n)"""
 
 
 def cleaned(source: str, name: str, key: str = "doc_id") -> str:
