@@ -22,8 +22,14 @@ BEGINNINGS = (4, 5, 6, 7)
 #: A pattern must stand in so many toxic rows of the sample.
 SUPPORT = 3
 THRESHOLD = 0.3
-#: Share of given labels taken to be right before the votes are seen.
-TRUST = 0.95
+#: A pattern votes if its share of toxic rows is so many deviations above the others', which next to none of
+#: a hundred thousand patterns would be by chance; features need only the smaller number.
+VOTES, FEATURES = 4.5, 2.0
+#: Share of given labels taken to be right before the votes are seen, as if seen in so many rows.
+TRUST, TRUST_ROWS = 0.95, 2
+#: This share of the toxic rows, those that the voters alone hold for toxic most surely, tells how often the
+#: given label is right.
+SURE = 0.25
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,6 +43,14 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def _logit(x: np.ndarray | float) -> np.ndarray:
+    return np.log(x / (1 - x))
+
+
+def _share(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 @dataclass
 class LabelModel:
     """Share of toxic rows, and for each voter its accuracy and its weight beside voters correlated with it."""
@@ -46,12 +60,12 @@ class LabelModel:
     weights: np.ndarray
     trust: float  # how often the given label, a voter too, is right
 
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        return _logit(self.prior) + votes @ (self.weights * (_logit(self.accuracy) - _logit(self.prior)))
+
     def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-        """Probability of a toxic row by Bayes' rule, from its votes and its given label (0 or 1)."""
-        logit = lambda x: np.log(x / (1 - x))
-        odds = logit(self.prior) + votes @ (self.weights * (logit(self.accuracy) - logit(self.prior)))
-        odds = odds + (2 * given - 1) * logit(self.trust)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        """Probability of a toxic row from its votes and its given label (0 or 1)."""
+        return _share(self.odds(votes) + (2 * given - 1) * _logit(self.trust))
 
 
 def shared_votes(votes: np.ndarray, p: np.ndarray, least: float = 0.1) -> np.ndarray:
@@ -65,21 +79,27 @@ def shared_votes(votes: np.ndarray, p: np.ndarray, least: float = 0.1) -> np.nda
     return related
 
 
-def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 10) -> LabelModel:
-    """Expectation maximisation over the votes for a row (1: votes, 0: abstains) and its noisy given label.
+def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 12) -> LabelModel:
+    """Estimates from moments over the votes for a row (1: votes, 0: abstains) and its noisy given label.
 
-    Abstaining says nothing, as voters for one language are silent in another. A voter's weight is one
-    over the sum of its positive correlations with all voters (1 with itself) within the classes, so a
-    group of voters that always agree counts about as one. The given label votes on every row; its
-    accuracy is estimated too, under a Beta prior of mean TRUST that weighs as much as the rows do: without
-    one the voters, which few texts hold together, drift from what "toxic" means.
+    Abstaining says nothing, as voters for one language are silent in another. The given label is taken to be
+    wrong alike often in both classes, so a share s of given labels stands for (s - (1 - trust)) / (2 trust - 1)
+    toxic rows; the share of toxic rows and each voter's accuracy are such moments. The trust is the share
+    of given ones among the rows that the voters alone rank highest. A voter's weight is one over the sum of its positive correlations with
+    all voters (1 with itself) within the classes, so a group of voters that always agree counts about as one.
+    As no posterior feeds an accuracy, the given label's faults aren't learned as a voter's.
     """
-    p, cast = np.clip(given.astype(float), 0.05, 0.95), votes.sum(0)
+    given = given.astype(float)
+    p, cast, seen, trust = np.clip(given, 0.05, 0.95), votes.sum(0), votes.T @ given, TRUST
     for _ in range(rounds):
-        prior = float(np.clip(p.mean(), 0.005, 0.5))
-        accuracy = np.clip((votes.T @ p + 2 * prior) / (cast + 2), 0.01, 0.99)
-        trust = float((1 - np.abs(p - given).mean() + TRUST) / 2)
+        toxic = lambda share: (share - (1 - trust)) / (2 * trust - 1)  # noqa: B023, E731
+        prior = float(np.clip(toxic(given.mean()), 0.005, 0.5))
+        accuracy = np.clip((cast * toxic(seen / np.maximum(cast, 1)) + 2 * prior) / (cast + 2), 0.001, 0.999)
         model = LabelModel(prior, accuracy, 1 / shared_votes(votes, p).sum(1), trust)
+        most = max(1, int(len(given) * prior * SURE))
+        right = given[np.argsort(-model.odds(votes), kind="stable")[:most]].mean()
+        trust = float((most * np.clip(right, 0.55, 0.999) + TRUST_ROWS * TRUST) / (most + TRUST_ROWS))
+        model.trust = trust
         p = model.posterior(votes, given)
     return model
 
@@ -134,6 +154,14 @@ def _statistics(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def choose(sample: DataFrame, sizes: dict[int, int], patterns: int = PATTERNS) -> list[tuple[str, float]]:
+    """The ``patterns`` patterns that tell toxic rows best, with the deviations of their share, falling; ties by pattern."""
+    share = (F.col("toxic") + F.col("clean")) / F.lit(float(sizes[0] + sizes[1]))
+    z = (F.col("toxic") / sizes[1] - F.col("clean") / sizes[0]) / F.sqrt(share * (1.0001 - share) * (1 / sizes[1] + 1 / sizes[0]))
+    told = _statistics(sample).filter(F.col("toxic") >= SUPPORT).withColumn("z", z).filter(F.col("z") > FEATURES)
+    return [(r["pattern"], r["z"]) for r in told.orderBy(F.col("z").desc(), "pattern").limit(patterns).collect()]
+
+
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, patterns: int = PATTERNS, voters: int = VOTERS) -> Classifier | None:
     """Fit on ``doc_id, text, toxic`` rows with a label; None without any of either class.
 
@@ -146,9 +174,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, patterns: int = PATTERNS, vot
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return None
-    share = (F.col("toxic") + F.col("clean")) / F.lit(float(sum(sizes.values())))
-    z = (F.col("toxic") / sizes[1] - F.col("clean") / sizes[0]) / F.sqrt(share * (1.0001 - share) * (1 / sizes[1] + 1 / sizes[0]))
-    best = [r["pattern"] for r in _statistics(sample).filter(F.col("toxic") >= SUPPORT).withColumn("z", z).filter("z > 2").orderBy(F.col("z").desc(), "pattern").limit(patterns).collect()]
+    chosen = choose(sample, sizes, patterns)
+    best, voters = [x for x, _ in chosen], min(voters, sum(z > VOTES for _, z in chosen))
     known = {x: i for i, x in enumerate(best)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from spoorless.llm import language, toxicity
 
@@ -146,6 +148,54 @@ def test_label_model_against_enumeration():
     assert doubled.weights[0] < 0.6 * model.weights[0]  # three voters that always agree
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.15])
+def test_label_model_mends_turned_labels(noise):
+    gen = np.random.default_rng(8)
+    truth = gen.random(6000) < 0.12
+    fires = np.concatenate([gen.uniform(0.3, 0.6, 12), gen.uniform(0.05, 0.15, 40)])  # strong and weak voters
+    votes = (gen.random((6000, 52)) < np.where(truth[:, None], fires, fires / 60)).astype(np.float32)
+    votes = np.concatenate([votes, ~votes.any(1, keepdims=True)], 1).astype(np.float32)
+    given = np.where(gen.random(6000) < noise, ~truth, truth).astype(float)
+    model = toxicity.fit_label_model(votes, given)
+    p = model.posterior(votes, given)
+    # the trust is a share of some 180 rows, so a deviation is 0.027 with noise, and the share of toxic rows follows it
+    assert abs(model.trust - (1 - noise)) < (0.06 if noise else 0.01) and abs(model.prior - truth.mean()) < (0.06 if noise else 0.01)
+    assert ((p > 0.5) == truth).mean() > (0.94 if noise else 0.99) and (given == truth).mean() == pytest.approx(1 - noise, abs=0.02)
+    for j in range(12):  # the share of toxic rows among those for which it votes
+        assert abs(model.accuracy[j] - truth[votes[:, j] == 1].mean()) < 0.12
+
+
+def test_voters_against_brute_force(spark):
+    rows = [(prose("aa", 8) + (" Vilecur rotgut" if i % 3 == 0 else ""), int(i % 3 == 0 or i % 11 == 0)) for i in range(200)] + [(None, 0), ("", 1)]
+    sizes = {k: sum(y == k for _, y in rows) for k in (0, 1)}
+    stands = {}
+    for text, y in rows:
+        for x in {x for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for x in [w] + [w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k]}:
+            stands.setdefault(x, [0, 0])[y] += 1
+    want = {}
+    for x, (clean, toxic) in stands.items():
+        share = (clean + toxic) / len(rows)
+        z = (toxic / sizes[1] - clean / sizes[0]) / np.sqrt(share * (1.0001 - share) * (1 / sizes[1] + 1 / sizes[0]))
+        if toxic >= toxicity.SUPPORT and z > toxicity.FEATURES:
+            want[x] = z
+    got = toxicity.choose(spark.createDataFrame(rows, "text string, toxic int"), sizes)
+    assert dict(got) == pytest.approx(want) and [z for _, z in got] == sorted(want.values(), reverse=True) and "rotgut" in want
+    assert len(toxicity.choose(spark.createDataFrame(rows, "text string, toxic int"), sizes, 3)) == 3
+
+
+def test_the_classifier_is_the_regressions_optimum():
+    gen = np.random.default_rng(4)
+    features = (gen.random((500, 6)) < 0.4).astype(np.float32)
+    target = 1 / (1 + np.exp(-(features @ np.array([2, -1, 0, 1, 0, -2]) - 0.5)))
+    w, b = toxicity.fit_linear(features, target, decay=1e-2, rounds=2000)
+    x, want = np.c_[features, np.ones(500)].astype(float), np.zeros(7)
+    for _ in range(50):  # Newton's method on the same loss
+        p = 1 / (1 + np.exp(-x @ want))
+        slope = x.T @ (p - target) / 500 + 1e-2 * np.r_[want[:6], 0]
+        want -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 500 + 1e-2 * np.diag([1] * 6 + [0]), slope)
+    assert np.allclose(np.append(w, b), want, atol=0.02)
+
+
 def test_toxicity_of_null_ids_and_long_texts(spark):
     rows = [(i, prose("aa", 20) + (" vilecur rotgut" if i % 4 == 0 else "")) for i in range(120)] + [(None, "vilecur rotgut"), (None, None), (500, "vilecur rotgut " + prose("aa", 100_000))]
     labels = [(i, int(i % 4 == 0)) for i in range(120)]
