@@ -240,15 +240,19 @@ def jpeg_clean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "output_size", queue.residual(F.col("removed")).alias("removed"), "success")
 
 
-@register("verify_images", "WITH f AS (SELECT unnest(['jpeg', 'png', 'webp']) AS kind) SELECT kind, count(*) AS files, count(*) AS verified FROM documents, f GROUP BY kind")
+_IMAGES = ("jpeg", "png", "webp")
+
+
+@register("verify_images", " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS files, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(output_size) AS BIGINT) AS bytes, count(*) FILTER (WHERE success) AS verified FROM ({o.container_clean(k)})" for k in _IMAGES))
 def verify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean files scan without private findings, so a second clean removes nothing."""
+    """What a first clean removes and leaves, and how many of its files a second clean takes as they are."""
     out = None
-    for name in ("jpeg", "png", "webp"):
-        once = engine.clean(fx.containers(spark, sf_dir, name)).select("path", F.col("output_size").alias("length"), F.col("cleaned").alias("content"))
-        again = engine.clean(once).select(F.lit(name).alias("kind"), (F.col("success") & (F.size("removed") == 0)).alias("fine"))
-        out = again if out is None else out.unionByName(again)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.count_if("fine").alias("verified"))
+    for name in _IMAGES:
+        once = engine.clean(fx.containers(spark, sf_dir, name)).select("path", F.col("output_size").alias("length"), F.col("cleaned").alias("content"), F.struct("output_size", queue.residual(F.col("removed")).alias("removed")).alias("first"))
+        again = engine.clean(once.drop("first")).select("path", (F.col("success") & (F.size("removed") == 0)).alias("fine"), F.col("output_size").alias("size"))
+        both = once.select("path", "first").join(again, "path").select(F.lit(name).alias("kind"), "first", (F.col("fine") & (F.col("size") == F.col("first.output_size"))).alias("fine"))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("first.removed").alias("removed"), F.sum("first.output_size").alias("bytes"), F.count_if("fine").alias("verified"))
 
 
 _MADE = {
@@ -357,9 +361,22 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.batch_summary(_results(spark, sf_dir), "conv_id")
 
 
-@register("all_done", "SELECT true AS all_done")
+_DONE_SQL = "count(*) > 0 AND bool_and(status IN ('scanned', 'clean', 'error')) AS all_done FROM"
+
+
+@register("all_done", f"""WITH {_QUEUE}, {_REPORTS}, a AS (SELECT CASE WHEN broken THEN 'error' ELSE 'scanned' END AS status FROM q LEFT JOIN last USING (path)),
+  b AS (SELECT CASE WHEN r.path IS NULL THEN q.status WHEN r.fine THEN 'clean' ELSE 'error' END AS status FROM q LEFT JOIN (SELECT '/q/' || (doc_id % 300) AS path, arg_max(doc_id % 3 <> 0, doc_id) AS fine FROM documents GROUP BY 1) r USING (path))
+  SELECT 'new' AS state, {_DONE_SQL} q UNION ALL SELECT 'reports', {_DONE_SQL} a UNION ALL SELECT 'results', {_DONE_SQL} b""")
 def all_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.all_done(queue.with_reports(_queue(spark, sf_dir), _reports(spark, sf_dir)))
+    """Whether all rows of a queue are done: when new, after its reports, and with results for some of its paths only."""
+    key, rows = F.col("doc_id"), _queue(spark, sf_dir)
+    results = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("/q/"), (key % 300).cast("string")).alias("path"), key.alias("pos"), F.struct((key % 3 != 0).alias("success")).alias("result"))
+    states = {"new": rows, "reports": queue.with_reports(rows, _reports(spark, sf_dir)), "results": queue.with_results(rows, results)}
+    told = None
+    for name, state in states.items():
+        one = state.select(F.lit(name).alias("state"), "status")
+        told = one if told is None else told.unionByName(one)
+    return queue.all_done(told, "state")
 
 
 @register("all_done_by_conversation", "SELECT conv_id, bool_and(role <> 'user' OR turn = 0) AS all_done FROM conversations GROUP BY conv_id")
