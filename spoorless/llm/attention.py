@@ -57,23 +57,23 @@ _TOP = np.float32(60)
 _ONES = np.ones(4096, np.float32)
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """Text and first input of each window, over texts of so many inputs; every input is scored in just one window."""
-    fresh = WINDOW - CONTEXT
+    fresh = WINDOW - context
     each = 1 + np.maximum(0, -(-(lengths - WINDOW) // fresh))
     owner = np.repeat(np.arange(len(lengths)), each)
     return owner, (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)) * fresh
 
 
-def framed(ids: np.ndarray, lengths: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets of all windows over texts in a row, which targets are scored, and each window's text.
+def framed(ids: np.ndarray, lengths: np.ndarray, before: int, context: int = CONTEXT, which: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets of all windows over texts in a row, or of some, which targets are scored, and each window's text.
 
     A text's inputs are ``before`` and its ids but the last, its targets its ids. Places past its end hold ``before``.
     """
-    owner, start = windows(lengths)
+    owner, start = (x[which] for x in windows(lengths, context))
     at = start[:, None] + np.arange(WINDOW)
     there = at < lengths[owner][:, None]
-    scored = there & ((start[:, None] == 0) | (np.arange(WINDOW) >= CONTEXT))
+    scored = there & ((start[:, None] == 0) | (np.arange(WINDOW) >= context))
     place = (np.cumsum(lengths) - lengths)[owner][:, None] + np.minimum(at, lengths[owner][:, None] - 1)
     targets = rows_of(ids, place)
     inputs = np.where(there & (at > 0), rows_of(ids, np.maximum(place - 1, 0)), before)

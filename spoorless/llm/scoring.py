@@ -20,9 +20,7 @@ from .common import load
 BLOCK_CHARS = 16_000_000
 #: Words whose ids a Python worker remembers at most, and the bytes of the longest.
 REMEMBERED, LONGEST = 500_000, 64
-#: Of the windows of all training documents, so many are trained on, chosen by a hash; 1 takes all.
-SHARE = 1 / 32
-#: Rounds of training, each with windows of its own, after which the workers' models are averaged; windows of a worker in a round.
+#: Rounds of training, each with windows of its own, after which the workers' models are averaged; windows of a worker in a round, at least.
 ROUNDS, SHARD = 4, 20_000
 #: Rate of the first round; each round's is a part of the one before.
 RATE, SLOWER = 0.015, 0.7
@@ -46,13 +44,6 @@ def words(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-def _chosen(owners: np.ndarray, starts: np.ndarray, share: float) -> np.ndarray:
-    """Whether each window, by its document's hash and its beginning, is trained on."""
-    h = owners.astype(np.uint64) ^ (starts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(40)).astype(np.float64) < share * (1 << 24)
-
-
 class Words:
     """Subword ids of words, each by itself; what a Python worker has encoded it remembers, up to a bound."""
 
@@ -79,8 +70,8 @@ class Words:
         return np.frombuffer(b"".join(found), np.uint32).astype(np.int64), np.array(list(map(len, found)), np.int64) // 4
 
 
-def told_blocks(docs: DataFrame, tokenizer: str, share: float = SHARE, chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row a document with its words' slots in order, an entry a word with its training count and subword ids, and a row a block with counts of ids and windows."""
+def told_blocks(docs: DataFrame, tokenizer: str, chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row a document with its words' slots in order, an entry a word with its training count and subword ids, and a row a block with counts of ids and the ids of all its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -95,19 +86,18 @@ def told_blocks(docs: DataFrame, tokenizer: str, share: float = SHARE, chars: in
             own, each = encoder.encode(list(index))
             id_counts = np.bincount(own, np.repeat(counts, each), encoder.end + 1).astype(np.int64)
             starts = np.cumsum(each) - each
-            picked = [chosen_windows(*gathered(own, each, some), ~h, x, share, encoder.end) for some, h, x in zip(*(in_turns(v, sizes) for v in (slots, held, rows.column(3).to_numpy())), strict=True) if some]
-            picked = np.concatenate(picked)
+            learned = [gathered(own.astype(np.uint32), each, [x for x, h in zip(some, out, strict=True) if not h]) for some, out in zip(in_turns(slots, sizes), in_turns(held, sizes), strict=True) if not out.all()]
+            ids, lengths = (np.concatenate([np.zeros(0, kind), *(x[k] for x in learned)]) for k, kind in enumerate((np.uint32, np.int64)))
             known = np.flatnonzero(id_counts)
             pieces = own.astype("<u4").tobytes()
             yield ledger.batch("document", n, {"block": [number] * n, "doc_id": rows.column(0), "held_out": rows.column(2), "slots": [ledger.packed(s) for s in slots]}, fields)
             yield ledger.batch("entry", len(index), {"block": np.full(len(index), number), "slot": np.arange(len(index)), "key": [w.decode() for w in index], "n": counts, "pieces": [pieces[4 * x : 4 * (x + y)] for x, y in zip(starts.tolist(), each.tolist(), strict=True)]}, fields)
-            yield ledger.batch("block", 1, {"block": [number], "known": [known], "id_counts": [id_counts[known]], "windows": [ledger.packed(picked.ravel())], "n_windows": [len(picked)], "n": [int(counts.sum())]}, fields)
+            yield ledger.batch("block", 1, {"block": [number], "known": [known], "id_counts": [id_counts[known]], "ids": [ledger.packed(ids)], "lengths": [ledger.packed(lengths)], "n_windows": [int(-(-lengths // attention.WINDOW).sum())], "n": [int(counts.sum())]}, fields)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"what string, block long, doc_id {kind}, held_out boolean, slots binary, slot int, key string, n long, pieces binary, known array<long>, id_counts array<long>, windows binary, n_windows long"
+    schema = f"what string, block long, doc_id {kind}, held_out boolean, slots binary, slot int, key string, n long, pieces binary, known array<long>, id_counts array<long>, ids binary, lengths binary, n_windows long"
     fields = ledger.fields_of(schema)
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.xxhash64(F.col("doc_id"), F.lit("window")).alias("hash"))
-    return rows.mapInArrow(run, schema)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, schema)
 
 
 def in_turns(values, sizes: np.ndarray, most: int = 500_000) -> list:
@@ -117,15 +107,6 @@ def in_turns(values, sizes: np.ndarray, most: int = 500_000) -> list:
     return [values[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def chosen_windows(ids: np.ndarray, lengths: np.ndarray, learned: np.ndarray, hashes: np.ndarray, share: float, end: int) -> np.ndarray:
-    """The chosen windows of texts that are learned from: the input before it and its targets."""
-    owner, start = attention.windows(lengths)
-    chosen = learned[owner] & _chosen(hashes[owner], start, share)
-    low, high = ((np.cumsum(lengths) - k)[owner[chosen]][:, None] for k in (lengths, 0))
-    places = low + start[chosen][:, None] + np.arange(-1, attention.WINDOW)
-    return np.where(places < low, end + 1, np.where(places < high, ids[np.clip(places, 0, len(ids) - 1)], end + 2))
-
-
 def gathered(own: np.ndarray, each: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts in a row, and how many each has, from the ids of their words."""
     flat, starts = np.concatenate(slots), np.cumsum(each) - each
@@ -150,13 +131,10 @@ class Model:
             self.parameters[name] = flat[at : at + value.size].reshape(value.shape).astype(np.float32)
             at += value.size
 
-    def windows(self, packed: bytes, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, targets and what is scored of a block's windows of one turn."""
-        end = len(self.outputs.place)
-        raw = ledger.unpacked(packed).reshape(-1, attention.WINDOW + 1)[turn::turns]
-        place = np.append(self.outputs.place, [self.outputs.count, self.outputs.count])  # before a text, and past its end
-        scored = (raw[:, 1:] < end) & ((raw[:, :1] == end) | (np.arange(attention.WINDOW) >= attention.CONTEXT))
-        return place[raw[:, :-1]], np.where(raw[:, 1:] < end, place[np.minimum(raw[:, 1:], end - 1)], 0), scored
+    def lessons(self, ids: bytes, lengths: bytes, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and what is scored of the windows of one turn over a block's texts; over all turns, each token is a target once."""
+        place = self.outputs.place.astype(np.int16)[ledger.unpacked(ids)]
+        return attention.framed(place, ledger.unpacked(lengths), self.outputs.count, 0, slice(turn, None, turns))[:3]
 
     def score(self, own: np.ndarray, each: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text of words with ids; some texts are taken at a time."""
@@ -179,13 +157,13 @@ def id_counts(told: DataFrame, size: int) -> np.ndarray:
 
 
 def trained(told: DataFrame, vocabulary: int, rounds: int = ROUNDS, shard: int = SHARD) -> Model:
-    """Train on the chosen windows of all blocks: workers each on their own shard, averaged after each round.
+    """Train on all windows of all blocks: workers each on their own shard, averaged after each round.
 
-    A shard holds about ``shard`` windows of a round, however many there are, so shards grow in number with the
+    A shard holds ``shard`` windows of a round, or all of a task if it has more, so shards grow in number with the
     corpus. The averages are made in parts of the parameters, and only they, one model's size, reach the driver.
     """
     model = Model(id_counts(told, vocabulary))
-    held = told.filter("what = 'block' AND n_windows > 0").select("block", "windows", "n_windows")
+    held = told.filter("what = 'block' AND n_windows > 0").select("ids", "lengths", "n_windows")
     total = held.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0]
     if not total:
         return model
@@ -193,16 +171,17 @@ def trained(told: DataFrame, vocabulary: int, rounds: int = ROUNDS, shard: int =
     for turn in range(rounds):
         rate = RATE * SLOWER**turn
 
-        def work(batch: pa.Table) -> pa.Table:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Model.__new__(Model)
             own.outputs, own.parameters = model.outputs, {k: v.copy() for k, v in model.parameters.items()}
-            order = np.argsort(batch.column("block").to_numpy(), kind="stable")
-            parts = [own.windows(batch.column("windows")[int(k)].as_py(), turn, rounds) for k in order]
+            parts = [own.lessons(ids.as_py(), lengths.as_py(), turn, rounds) for batch in batches for ids, lengths in zip(batch.column(0), batch.column(1), strict=True)]
+            if not parts:
+                return
             inputs, targets, scored = (np.concatenate(x) for x in zip(*parts, strict=True))
             attention.train(own.parameters, inputs, targets, scored, rate, seed=turn)
             flat = own.lay()
             pieces = [flat[k : k + PART] for k in range(0, len(flat), PART)]
-            return pa.table({"part": pa.array(range(len(pieces)), pa.int32()), "weight": pa.array([float(scored.sum())] * len(pieces), pa.float64()), "flat": pa.array(pieces, pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(scored.sum())] * len(pieces), pa.float64()), pa.array(pieces, pa.list_(pa.float32()))], names=["part", "weight", "flat"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Weighted sums of a task's parts; a task holds one of each."""
@@ -215,8 +194,8 @@ def trained(told: DataFrame, vocabulary: int, rounds: int = ROUNDS, shard: int =
                     old[1] += value
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([v for _, v in sums.values()], pa.list_(pa.float64()))], names=["part", "weight", "flat"])
 
-        dealt = held.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-        models = dealt.groupBy("shard").applyInArrow(work, "part int, weight double, flat array<float>")
+        # blocks stay where they were written; tasks are put together, without a shuffle, where they are too many
+        models = held.select("ids", "lengths").coalesce(shards).mapInArrow(work, "part int, weight double, flat array<float>")
         sums = models.repartition("part").mapInArrow(average, "part int, weight double, flat array<double>")
         rows = sorted(sums.collect(), key=lambda r: r["part"])  # one model
         if any(r["weight"] for r in rows):
@@ -224,18 +203,20 @@ def trained(told: DataFrame, vocabulary: int, rounds: int = ROUNDS, shard: int =
     return model
 
 
-def scored(docs: DataFrame, tokenizer: str | None = None, share: float = SHARE, rounds: int = ROUNDS, shard: int = SHARD, chars: int = BLOCK_CHARS) -> DataFrame:
+def scored(docs: DataFrame, tokenizer: str | None = None, share: float = 1.0, rounds: int = ROUNDS, shard: int = SHARD, chars: int = BLOCK_CHARS) -> DataFrame:
     """Score every whole text of ``doc_id, text``, learning from those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. The base counts words
     of all training texts, each and the end once more than seen; the score is of a self-attention model over
-    the words' subword ids, whose outputs' frequencies are of all training texts, too. Null texts are empty and have
+    the words' subword ids, trained on all windows of all training texts; ``share`` can be nothing but 1. Null texts are empty and have
     their end only. Null doc_ids are learned from. Rows that repeat count each. Without training texts, every
     token has the base's 1 / 1, score 0, and the model stays as it begins. Other columns are not read; an
     empty table gives no rows.
     """
+    if share != 1:
+        raise ValueError("the model learns from all training texts")
     path = tokenizer or default_tokenizer()
-    told = ledger.written(told_blocks(docs, path, share, chars))
+    told = ledger.written(told_blocks(docs, path, chars))
     same = Window.partitionBy("key")
     # one shuffle: each block's entry of a word gets the word's count, and the first of them stands for the word
     first = (F.min("block").over(same) == F.col("block")).alias("first")

@@ -113,3 +113,31 @@ def test_learns_what_follows_what(spark):
     rows = [(k, " ".join(sentence() for _ in range(8))) for k in range(1500)]
     found = scoring.scored(table(spark, rows), share=1.0, shard=1_000).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
     assert found["sum(score)"] > 0.6 * found["sum(base_score)"]
+
+
+def test_every_token_of_training_texts_is_a_target_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice(["alpha", "Beta", "unübersehbar", "x1y2z3"], rng.integers(0, 90)))) for k in range(80)] + [(100, None), (None, "no id")]
+    path = scoring.default_tokenizer()
+    told = scoring.told_blocks(table(spark, rows).repartition(3), path, chars=2_000).persist()
+    encoder = scoring.Words(path)
+    model = scoring.Model(scoring.id_counts(told, encoder.end + 1))
+    want = Counter()
+    for i, text in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            want.update(model.outputs.place[encoder.encode(scoring.words(text))[0]].tolist())
+    got, blocks, n = Counter(), told.filter("what = 'block'").collect(), 0
+    for row in blocks:
+        for turn in range(scoring.ROUNDS):
+            _, targets, scored = model.lessons(row["ids"], row["lengths"], turn, scoring.ROUNDS)
+            got.update(targets[scored].tolist())
+            n += len(targets)
+    assert got == want and n == sum(r["n_windows"] for r in blocks) and len(blocks) > 3
+
+
+def test_learns_from_all_texts_unless_told_otherwise(spark):
+    rows = [(k, "one two three four five six seven " * 6) for k in range(3000)]
+    found = scoring.scored(table(spark, rows), shard=1_000).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert found["sum(score)"] > 0.6 * found["sum(base_score)"]
+    with pytest.raises(ValueError):
+        scoring.scored(table(spark, rows), share=0.5)
