@@ -6,13 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def shown_bytes(size: Column) -> Column:
-    """A size in steps of 1024: a decimal below 10 units, none from 10 on; whole bytes."""
-    step = F.when(size < 1024, 0).otherwise(F.least(F.floor(F.log(1024.0, size.cast("double")) + 1e-12), F.lit(4)))
-    value = size / F.pow(F.lit(1024.0), step)
-    unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")]), (step + 1).cast("int"))
-    number = F.when((step > 0) & (value < 10), F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
-    return F.concat_ws(" ", number, unit)
+def shown_bytes(size: Column, largest: str = "") -> Column:
+    """A size in steps of 1024: a decimal below 10 units, none from 10 on; whole bytes; null of null.
+
+    Halves go to the even digit, as with printf. If a ``largest`` unit is named, what is larger is told in it, always with a decimal.
+    """
+    units = ["B", "KB", "MB", "GB", "TB"]
+    last = units.index(largest) if largest else len(units) - 1
+    step = sum(((size >= 1024**k).cast("int") for k in range(1, last + 1)), F.lit(0))
+    value = size / F.pow(F.lit(1024.0), step)  # exact, as a power of 2 divides it
+    unit = F.element_at(F.array(*[F.lit(u) for u in units]), step + 1)
+    decimal = (step > 0) & ((value < 10) | ((step == last) & F.lit(bool(largest))))
+    number = F.when(decimal, F.format_string("%.1f", F.bround(value, 1))).otherwise(F.format_string("%.0f", F.bround(value, 0)))
+    return F.when(size.isNotNull(), F.concat_ws(" ", number, unit))
 
 
 def natural_key(name: Column) -> Column:

@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spoorless.functions import markup, scalars
 from spoorless.functions import text as t
+from spoorless.plans import catalogue
 
 CASES = [
     ("a​b c", "ab c", 2), ("\U0001f468‍\U0001f469‍\U0001f467", "\U0001f468‍\U0001f469‍\U0001f467", 0), ("❤️ ✈️", "❤️ ✈️", 0),
@@ -77,3 +79,13 @@ def test_scalars(spark):
     shuffled = spark.createDataFrame([(v,) for v in versions[::-1]], "v string").orderBy(scalars.version_key(F.col("v")))
     assert [r["v"] for r in shuffled.collect()] == versions
     assert spark.createDataFrame([("1.2",), ("x",)], "v string").filter(scalars.version_key(F.col("v")).isNotNull()).count() == 0
+
+
+def test_shown_sizes_are_those_of_their_sql(spark, tmp_path):
+    chars = [*range(1400, 1470), 0, 146, 329, 1353, 2121, 4169, 149_796, 149_797, 1_497_965, 1_498_000, 153_391_690, 160_000_000_000, None]
+    spark.createDataFrame(list(enumerate(chars)), "doc_id bigint, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["shown_sizes"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert got == sorted(db.execute(catalogue.ORACLES["shown_sizes"]).fetchall())
+    assert dict(got)[chars.index(1353)] == "9.2 KB" and dict(got)[chars.index(2121)] == "14 KB"
